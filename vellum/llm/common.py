@@ -7,6 +7,7 @@ NumPy, a few megabytes at a time, so no kernel holds a Python object for each wo
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20  # text bytes that one kernel call takes, unless a single text is longer
 
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: list[str] = []  # paths only: this module travels to executors
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,21 +39,22 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/vellum/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _scratch:
-        atexit.register(clear_scratch)
-    _scratch.append((spark, path))
+        atexit.register(_at_exit)
+    _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch() -> None:
-    """Delete the scratch tables of this process, as far as their session still runs."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended; the folder's owner cleans it
-            return
+    """Delete the scratch tables of this process, as far as a session still runs."""
+    spark = SparkSession.getActiveSession()
+    while _scratch and spark is not None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before; the folder's owner cleans it
+        clear_scratch()
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

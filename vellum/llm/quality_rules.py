@@ -6,7 +6,7 @@ path length over the trees says how easily it is cut off from the rest. The scor
 2 ** (-path / c(subsample)) above a threshold marks an anomaly. The threshold is calibrated on all
 labelled rows: the least score that rejects at most max_good_loss of the rows labelled good.
 
-Bound on what is collected: the forest is grown on the driver from the sample_rows labelled good
+Bound on what is collected: the forest is grown on the driver from the sample_rows labelled
 documents with the smallest hashed ids (a documented parameter); trees are sample_rows-independent
 in size (subsample points each). The calibration collects a histogram of fixed width.
 
@@ -214,8 +214,8 @@ def fit(points: DataFrame, labels: DataFrame, key: str = "doc_id", trees: int =
     # what the base rules reject anyway would only widen the threshold
     marked = points.filter(~base_failed()).select(key, "features").join(lab, F.col(key) == F.col("__k"), "left")
     order = F.xxhash64(F.lit(seed), F.col(key))
-    # labelled good rows first, so that others serve only where there are none at all
-    rank = F.when(F.col("__good") == 1, 0).otherwise(1)
+    # labelled rows first, so that others serve only where there are none at all
+    rank = F.when(F.col("__good").isNotNull(), 0).otherwise(1)
     rows = marked.select(rank.alias("rank"), order.alias("at"), F.col(key), "features").orderBy("rank", "at", key).limit(sample_rows).collect()
     if any(r["rank"] == 0 for r in rows):
         rows = [r for r in rows if r["rank"] == 0]

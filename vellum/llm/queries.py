@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from vellum.llm import quality_rules
+from vellum.llm import mixing, quality_rules, sharding
 
 QUERIES = {
+    "op4_pareto_mix": mixing.query,
+    "op9_bounded_ring": sharding.query,
     "op10_isolation_rules": quality_rules.query,
 }
 
