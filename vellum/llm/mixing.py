@@ -79,7 +79,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     """
     cols = {"__key": F.col(f"`{key}`"), "__source": F.col(f"`{source}`"), "size": n_words(F.col(f"`{text}`")), "__weight": F.lit(1.0) if weight is None else F.greatest(F.col(f"`{weight}`").cast("double"), F.lit(1e-9))}
     rows = C.stash(docs.select(*[c.alias(n) for n, c in cols.items()], *[F.col(f"`{c}`").alias(f"__c_{c}") for c in carry or []]))
-    sums = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), (F.sum(F.col("size") * F.col("__weight")) / F.sum("size")).alias("__mean"))
+    sums = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("size") * F.col("__weight")), F.sum("size").cast("double")).alias("__mean"))
     goal = C.stash(targets(sums, weights, max_repeat))
     # nulls never equal in a join: a flag and a filled value stand for the source
     flag = lambda c: (F.col(c).isNull().alias("__n"), F.coalesce(F.col(c), F.lit("")).alias("__s"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vellum.llm import mixing, quality_rules, sharding
+from vellum.llm import line_dedup, mixing, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op4_pareto_mix": mixing.query,
+    "op6_linked_secrets": secret_scan.query,
+    "op7_line_chunks": line_dedup.query,
     "op9_bounded_ring": sharding.query,
     "op10_isolation_rules": quality_rules.query,
 }
