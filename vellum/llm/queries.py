@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import line_dedup, mixing, quality_rules, secret_scan, sharding
+from vellum.llm import decontamination, line_dedup, mixing, quality_rules, secret_scan, sharding
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op4_pareto_mix": mixing.query,
     "op6_linked_secrets": secret_scan.query,
     "op7_line_chunks": line_dedup.query,
