@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontamination, line_dedup, mixing, quality_rules, secret_scan, sharding
+from vellum.llm import decontamination, license_scan, line_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_bagminhash_dedup": near_dedup.query,
     "op4_pareto_mix": mixing.query,
     "op6_linked_secrets": secret_scan.query,
     "op7_line_chunks": line_dedup.query,
+    "op8_license_diagonals": license_scan.query,
     "op9_bounded_ring": sharding.query,
     "op10_isolation_rules": quality_rules.query,
 }
