@@ -16,7 +16,7 @@ are one document and share their result. Null keys are one key. Empty tables giv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import common as C
@@ -28,15 +28,22 @@ def chunked(docs: DataFrame, key: str, text: str, divisor: int) -> DataFrame:
     """Identity of each row, its lines and the 1-based (from, to) of its chunks."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     k = F.col(f"`{key}`")
-    df = docs.select(k.isNull().alias("__null"), F.coalesce(k, F.lit(0).cast(docs.schema[key].dataType)).alias("__k"), F.xxhash64(body).alias("__h"), F.split(body, "\n", -1).alias("__lines"), k.alias("__key"))
-    df = df.withColumn("__hash", F.transform("__lines", lambda x: F.xxhash64(x)))
+    ids = ["__null", "__k", "__h", "__key"]
+    df = docs.select(k.isNull().alias("__null"), F.coalesce(k, F.lit(0).cast(docs.schema[key].dataType)).alias("__k"), F.xxhash64(body).alias("__h"), k.alias("__key"), _once(F.split(body, "\n", -1)).alias("__lines"))
+    df = df.select(*ids, "__lines", _once(F.transform("__lines", lambda x: F.xxhash64(x))).alias("__hash"))
     n = F.size("__lines")
+    # entry i looks at lines i + 1 and i + 2 (from 1)
     rolls = F.zip_with(F.slice("__hash", 2, F.greatest(n - 1, F.lit(1))), F.col("__hash"), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(divisor)))
-    # rolls[i] looks at lines i + 1 and i + 2 (from 1); the last entry lacks its second line
-    ends = F.filter(F.transform(rolls, lambda x, i: F.when((i + 2 < n) & (x == 0), i + 2)), lambda e: e.isNotNull())
-    ends = F.concat(ends, F.array(n))
-    df = df.withColumn("__ends", ends)
-    return df.withColumn("__chunks", F.transform("__ends", lambda e, i: F.struct(F.when(i == 0, F.lit(1)).otherwise(F.get("__ends", i - 1) + 1).alias("a"), e.alias("b")))).drop("__hash", "__ends")
+    ends = F.filter(F.transform(rolls, lambda x, i: F.when(x == 0, i + 2)), lambda e: e.isNotNull())
+    df = df.select(*ids, "__lines", _once(F.array_union(F.filter(ends, lambda e: e < F.size("__hash")), F.array(n))).alias("__ends"))
+    starts = F.concat(F.array(F.lit(1)), F.transform("__ends", lambda e: e + 1))
+    chunks = F.zip_with(F.slice(starts, F.lit(1), F.size("__ends")), F.col("__ends"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return df.select(*ids, "__lines", _once(chunks).alias("__chunks"))
+
+
+def _once(col: Column) -> Column:
+    """The same value, made in a plan node of its own: later uses, also within lambdas, don't make it again."""
+    return F.explode(F.array(col))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
