@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontamination, license_scan, line_dedup, mixing, near_dedup, quality_rules, secret_scan, sharding, suffix_dedup
+from vellum.llm import decontamination, license_scan, line_dedup, mixing, near_dedup, perplexity, quality_rules, secret_scan, sharding, suffix_dedup
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_bagminhash_dedup": near_dedup.query,
     "op3_run_length_index": suffix_dedup.query,
     "op4_pareto_mix": mixing.query,
+    "op5_kneser_ney": perplexity.query,
     "op6_linked_secrets": secret_scan.query,
     "op7_line_chunks": line_dedup.query,
     "op8_license_diagonals": license_scan.query,
