@@ -1 +1 @@
-
+"""Readers of files and of paged services."""
