@@ -1 +1 @@
-
+"""Relations derived from the driver's tables, and composed plans."""
