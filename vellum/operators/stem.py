@@ -9,6 +9,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The rules of the published algorithm, longest suffix first within a step.
 STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
@@ -73,6 +74,6 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def porter(term: pd.Series) -> pd.Series:
     return term.map({t: stem(t) for t in term.dropna().unique()})
