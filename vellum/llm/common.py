@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20  # text bytes that one kernel call takes, unless a single text is longer
+SLICE_BYTES = 256 << 10  # text bytes that one kernel call takes, unless a single text is longer; its arrays fit a core's cache
 
 _scratch: list[str] = []  # paths only: this module travels to executors
 
@@ -33,9 +33,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there."""
+def stash(df: DataFrame, few: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there.
+
+    few: for links and the like, small beside the texts; an eighth as many files as shuffles have partitions.
+    """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch_dir(spark)}/vellum/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _scratch:

@@ -44,30 +44,36 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tupl
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    counts = np.maximum(np.diff(offsets) - length + 1, 0)  # windows of each row
+    total = int(counts.sum())
+    if not total:
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     prefix = C.prefix_hash(buf)
-    at = np.arange(n - k + 1)
-    h = C.span_hash(prefix, at, at + k)
+    h = (prefix[k:] - prefix[:-k]) * C._power(C._B_INV, n - k + 1)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
     mask = np.uint64((1 << POS_BITS) - 1)
-    packed = (h & ~mask) | at.astype(np.uint64)
     # least of every w neighbours, from running minima of blocks of w in both directions
-    blocks = -(-len(packed) // w)
+    blocks = -(-len(h) // w)
     padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(packed)] = packed
+    packed = padded[: len(h)]
+    np.bitwise_and(h, ~mask, out=packed)
+    packed |= np.arange(len(h), dtype=np.uint64)
     grid = padded.reshape(blocks, w)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     m = n - length + 1
     anchor = (np.minimum(back[:m], ahead[w - 1 : w - 1 + m]) & mask).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(m), "right") - 1
-    valid = np.arange(m) + length <= offsets[row + 1]
-    starts = np.flatnonzero(valid)
-    if not len(starts):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    new = np.ones(len(starts), bool)
-    new[1:] = (np.diff(starts) > 1) | (anchor[starts[1:]] != anchor[starts[:-1]]) | (row[starts[1:]] != row[starts[:-1]])
-    a = starts[new]
-    b = np.append(starts[np.flatnonzero(new)[1:] - 1], starts[-1]) + length
-    return row[a], a - offsets[row[a]], b - a, h[anchor[a]], C.span_hash(prefix, a, b)
+    row = np.repeat(np.arange(len(counts)), counts)
+    starts = np.arange(total) + np.repeat(offsets[:-1] - (np.cumsum(counts) - counts), counts)
+    anchor = anchor[starts]
+    new = np.ones(total, bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    a = starts[first]
+    b = starts[np.append(first[1:] - 1, total - 1)] + length
+    at = anchor[first]
+    return row[first], a - offsets[row[first]], b - a, C.span_hash(prefix, at, at + k), C.span_hash(prefix, a, b)
 
 
 def long_slices(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,7 +99,7 @@ class RunLengthIndex:
         key = np.zeros(n, np.uint64)
         for j in range(7):  # seven symbols of nine bits
             key = (key << np.uint64(9)) | wide[j : j + n]
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)  # ties are settled below
         sorted_key = key[sa]
         head = np.ones(n, bool)
         head[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -106,7 +112,7 @@ class RunLengthIndex:
             idx = sa[slots]
             second = np.where(idx + h < n, rank[np.minimum(idx + h, n - 1)] + 1, 0)
             both = rank[idx] * np.int64(n + 1) + second
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
             idx, both = idx[order], both[order]
             sa[slots] = idx
             head = np.ones(len(slots), bool)
@@ -196,7 +202,8 @@ def marked(docs: DataFrame, length: int, gram: int, bucket_bytes: int, hot_texts
                 yield pa.RecordBatch.from_arrays([pa.array(k[row + lo]), pa.array(h[row + lo]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), C.long_of(anchor), C.long_of(content)], ["k", "h", "start", "size", "anchor", "content"])
 
     rows = docs.mapInArrow(split, fields)
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # written, so that the join below is one of two exchanges, which Spark may split where an anchor is frequent
+    often = C.stash(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     live = C.stash(rows.join(often, "anchor"))
     one = ["anchor", "content", "size"]
     texts = C.stash(live.groupBy(*one).agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "start")).alias("rep")))
@@ -209,8 +216,8 @@ def marked(docs: DataFrame, length: int, gram: int, bucket_bytes: int, hot_texts
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = C.text_column(batch, "t")
-            for i, parts in enumerate(batch.column(1).to_pylist()):
-                raw = t[i].as_py().encode()
+            for i in range(batch.num_rows):
+                parts, raw = batch.column(1)[i].as_py(), t[i].as_py().encode()
                 for at in range(0, len(parts), 4096):
                     some = parts[at : at + 4096]
                     yield pa.RecordBatch.from_arrays(
@@ -256,7 +263,7 @@ def _one_by_one(bodies: DataFrame, length: int) -> DataFrame:
     return hit.groupBy("anchor", "content", "size").agg(F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("a"), (x + 1).alias("b"))).alias("found"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = 2 << 20, hot_texts: int = 12_000) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = 512 << 10, hot_texts: int = 12_000) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept (the bytes left) and kept_sha256 for each row of docs."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     named = docs.select(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{key}`").isNull()).alias("k"), F.xxhash64(body).alias("h"), body.alias("t"), F.col(f"`{key}`").alias("key"))
