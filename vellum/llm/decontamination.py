@@ -72,10 +72,16 @@ class Seeds:
 
     def keep_rare(self, frequency: np.ndarray) -> None:
         """frequency: documents by seed. Keep each item's seeds at or below its median."""
+        if not len(self.item):
+            return
         f = np.repeat(frequency, np.diff(self.at))
-        for i in np.unique(self.item):
-            mine = self.item == i
-            self.kept[mine] = f[mine] <= np.median(f[mine])
+        order = np.lexsort((f, self.item))
+        ordered = f[order]
+        first = np.flatnonzero(np.concatenate(([True], np.diff(self.item[order]) > 0)))
+        n = np.diff(np.append(first, len(order)))
+        median = np.zeros(len(self.items))
+        median[self.item[order][first]] = (ordered[first + (n - 1) // 2] + ordered[first + n // 2]) / 2
+        self.kept = f <= median[self.item]
 
     def find(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, word place and seed of all hits."""
