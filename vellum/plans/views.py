@@ -113,5 +113,5 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     """
     q = queries(spark, sf).select("qid", F.substring("query", 1, 60).alias("head"), F.explode(F.array_distinct(T.tokens(F.substring("query", 1, 60), 6))).alias("w"))
     d = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text"), 6))).alias("w"))
-    hit = d.join(F.broadcast(q), "w").filter(F.contains("text", F.col("head")))
+    hit = d.join(q, "w").filter(F.contains("text", F.col("head")))
     return hit.select("qid", F.col("doc_id").alias("doc"), F.lit(1).alias("relevant")).distinct()
