@@ -10,10 +10,12 @@ their weighted Jaccard similarity. Slots are banded; texts that share a band are
 Candidates are verified by the exact multiset overlap, sum of min over sum of max, at 0.8 or more.
 
 Linking. Texts with equal word sequences are one class before anything else, however many copies
-there are. In each band bucket, members are paired with its least and its greatest class only; the
-verified links give components. Members of one bucket that are still in different components are
-then paired with one another across components. Within a component no pair is made, so a group of
-n near copies costs a multiple of n pairs and not n * n, and no link between components is lost.
+there are. In each band bucket, members are paired with two pivots only: the member that shares most
+bands with other classes (the original, where edited copies resemble it more than one another) and
+the least one. The verified links give components. Members of one bucket that are still in different
+components have their signatures compared across components, in blocks, and those that agree nearly
+enough are verified too. Within a component no pair is made, so n near copies cost a multiple of n
+rows.
 
 Scale. Copies collapse by partial aggregation. Classes are 128-bit hashes. Bags aren't stored:
 verification reads the texts of the few classes in candidate pairs. Components are found by
@@ -134,7 +136,7 @@ def classified(docs: DataFrame, key: str, text: str, bands: int, per: int, shing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in C.slices(C.text_column(batch, "t"), 1 << 20):
+            for lo, hi, buf, offsets in C.slices(C.text_column(batch, "t")):
                 h, first = hashed_words(buf, offsets)
                 sig = signatures(*bags(h, first, shingle), hi - lo, bands * per)
                 some = np.diff(first) > 0
@@ -185,7 +187,7 @@ def _bags_of(col: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of edges (a, b); root is the component's least node."""
-    e = C.stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     for _ in range(rounds):
         # large star: every node's greater neighbours go to its least neighbour or itself
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -194,7 +196,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: every node and its lesser neighbours go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        new = C.stash(small)
+        new = C.stash(small, few=True)
         moved = new.join(e, ["a", "b"], "left_anti").limit(1).count() + e.join(new, ["a", "b"], "left_anti").limit(1).count()
         e = new
         if not moved:
@@ -206,31 +208,87 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, per: int = ROWS) -> DataFrame:
-    """key, class, group_id (the least key of the group), group_size and n_classes for each row of docs."""
+    """key, class, root, group_id (the least key of the group) and group_size for each row of docs."""
     named = C.stash(classified(docs, key, text, bands, per, shingle))
-    classes = named.groupBy("class").agg(F.min(key).alias("least"), F.first("bands").alias("bands"))
-    slots = C.stash(classes.select("class", F.explode("bands").alias("band")))
-    often = slots.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
+    classes = named.groupBy("class").agg(F.first("bands").alias("bands"))
+    slots = classes.select("class", F.posexplode("bands").alias("at", "band"))
+    often = slots.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     held = C.stash(slots.join(often, "band"))
-    stars = held.select("class", F.explode(F.array("lo", "hi")).alias("other")).filter("class <> other")
+    # a hub shares more bands with more classes than its neighbours: the original of edited copies
+    hubs = held.groupBy("class").agg(F.sum("n").alias("reach"))
+    pivots = held.join(hubs, "class").groupBy("band").agg(F.max(F.struct("reach", "class")).alias("hub"), F.min("class").alias("lo")).select("band", "hub.class", "lo").withColumnRenamed("class", "hub")
+    stars = held.join(pivots, "band").select("class", F.explode(F.array("hub", "lo")).alias("other")).filter("class <> other")
     pairs = C.stash(stars.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct())
     texts = C.stash(_texts(docs, held.select("class").distinct(), text))
-    edges = C.stash(verified(pairs, texts, shingle, similarity))
+    edges = C.stash(verified(pairs, texts, shingle, similarity), few=True)
     comp = components(edges)
     # members of a bucket that are still apart
-    rooted = held.select("band", "class").join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = held.select("band", "at", "class").join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     apart = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
     open_ = C.stash(rooted.join(apart, "band").distinct())
-    left, right = open_, open_.select("band", F.col("class").alias("other"), F.col("root").alias("other_root"))
-    more = left.join(right, "band").filter("class < other and root <> other_root").select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
-    more = C.stash(more.join(pairs, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(verified(more, texts, shingle, similarity))
-    comp = components(edges)
+    more = C.stash(likely(open_, texts, shingle, bands, per, similarity).join(pairs, ["a", "b"], "left_anti"), few=True)
+    # the new links join components: they are settled among the roots alone
+    found = verified(more, texts, shingle, similarity)
+    for side in ("a", "b"):
+        found = found.join(comp.select(F.col("node").alias(side), F.col("root").alias("__r")), side, "left").withColumn(side, F.coalesce("__r", side)).drop("__r")
+    last = components(C.stash(found, few=True)).select(F.col("node").alias("root"), F.col("root").alias("__last"))
     rooted = named.drop("bands").join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = rooted.join(last, "root", "left").withColumn("root", F.coalesce("__last", "root")).drop("__last")
     ids = rooted.groupBy("root").agg(F.min(key).alias("group_id"), F.count("*").alias("group_size"))
+    ids = C.stash(ids)  # a join of two exchanges, which Spark may split where a group is large
     return rooted.join(ids, "root").select(key, "class", "root", "group_id", "group_size")
 
 
+def likely(members: DataFrame, texts: DataFrame, shingle: int, bands: int, per: int, similarity: float, block: int = 4000, fine: int = 768) -> DataFrame:
+    """Pairs (a, b) of one band and different roots whose signatures agree nearly enough to be verified.
+
+    A band's members are cut into blocks of about `block`; pairs of blocks are compared slot by slot
+    in NumPy, so that rows are made for likely pairs only. The banded slots sift first, within 0.1 of
+    the similarity; a second signature of `fine` slots decides, within four of its standard deviations.
+    A pair that shares several bands is compared in the first of them. Signatures keep 16 bits a slot.
+    """
+    slots = bands * per
+    slack = 4 * (similarity * (1 - similarity) / fine) ** 0.5
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offsets in C.slices(C.text_column(batch, "t")):
+                row, g, weight = bags(*hashed_words(buf, offsets), shingle)
+                both = [signatures(row, g, weight, hi - lo, slots), signatures(row, C.mix(g ^ np.uint64(0x3C79AC492BA7B653)), weight, hi - lo, fine)]
+                short = np.ascontiguousarray((C.mix(np.hstack(both).view(np.uint64)) >> np.uint64(48)).astype(np.uint16))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in short], pa.binary())], ["class", "sig"])
+
+    signed = texts.join(members.select("class").distinct(), "class", "left_semi").select("class", "t").mapInArrow(sign, "class binary, sig binary")
+    counts = members.groupBy("band").agg(F.count("*").alias("n"))
+    placed = members.join(counts, "band").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / block)))
+    heaps = placed.join(signed, "class").groupBy("band", "at", "part").agg(F.collect_list(F.struct("class", "root", "sig")).alias("x"))
+    other = heaps.select("band", F.col("part").alias("part2"), F.col("x").alias("y"))  # (members / block)**2 / 2 pairs a band
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ca, ra, sa), (cb, rb, sb) = (_heap(batch.column(c)[i].values, slots + fine) for c in (0, 1))
+                a, b = [], []
+                band = batch.column(2)[i].as_py()
+                for at in range(0, len(sa), 16):
+                    equal = sa[at : at + 16, None, :slots] == sb[None, :, :slots]
+                    x, y = np.nonzero((equal.sum(2) >= (similarity - 0.1) * slots) & (ra[at : at + 16, None] != rb[None]))
+                    mine = equal[x, y].reshape(-1, bands, per).all(2).argmax(1) == band
+                    x, y = x[mine] + at, y[mine]
+                    sure = (sa[x, slots:] == sb[y, slots:]).mean(1) >= similarity - slack
+                    for u, v in zip(x[sure], y[sure], strict=True):
+                        if ca[u] != cb[v]:
+                            a.append(min(ca[u], cb[v])), b.append(max(ca[u], cb[v]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return heaps.join(other, "band").filter("part <= part2").select("x", "y", "at").mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def _heap(values: pa.Array, slots: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(values.field("sig").to_pylist()), np.uint16).reshape(-1, slots)
+    return values.field("class").to_pylist(), np.array(values.field("root").to_pylist(), object), sig
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """class, text: one text for each wanted class."""
 
