@@ -1,10 +1,11 @@
 """Quality rules: statistics of each text, and an isolation forest over them.
 
-Method. Rule statistics (word, symbol, line and repetition counts and their ratios) make one
-point for each document. Trees split a subsample at random features and values; a point's mean
+Method. Rule statistics (by how much the shares of symbols, capitals, digits, repeated words and
+lines, and the word length exceed their usual limits) make one point for each document. Trees split a subsample at random features and values; a point's mean
 path length over the trees says how easily it is cut off from the rest. The score
 2 ** (-path / c(subsample)) above a threshold marks an anomaly. The threshold is calibrated on all
-labelled rows: the least score that rejects at most max_good_loss of the rows labelled good.
+labelled rows that pass the base rules: of the scores that reject at most max_good_loss of the good
+rows and 99 % of the bad rows that the least of them rejects, the middle one.
 
 Bound on what is collected: the forest is grown on the driver from the sample_rows labelled
 documents with the smallest hashed ids (a documented parameter); trees are sample_rows-independent
@@ -31,7 +32,7 @@ from vellum.llm import common as C
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50  # fixed values of the base rules
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_upper", "n_lines", "n_distinct", "n_digits", "n_punct", "n_bytes"]
+EXTRA = ["n_upper", "n_lines", "n_digits", "n_bytes"]
 
 
 def _per_row(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -40,7 +41,6 @@ def _per_row(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-_PUNCT = np.isin(np.arange(256), np.frombuffer(b".,;:!?'\"()-", np.uint8))
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _DIGIT = (np.arange(256) >= 48) & (np.arange(256) <= 57)
 _SYMBOL = np.isin(np.arange(256), SYMBOLS)
@@ -77,7 +77,6 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         at = (np.arange(len(wins)) - begin[row] + first[:-1][row])[twice]
         for j in range(3):
             covered[at + j] = 1
-    _, later, _ = _row_and_hash_repeats(h, n_words)
     # lines: maximal runs between newlines; those without a word never count as repeated
     ls, le, lfirst = C.words(buf, offsets, _NEWLINE)
     word_in = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
@@ -92,28 +91,25 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_repeat_words": _per_row(covered[: len(starts)], first),
         "n_upper": _per_row(_UPPER[buf], offsets),
         "n_lines": n_lines,
-        "n_distinct": n_words - _per_row(later, first),
         "n_digits": _per_row(_DIGIT[buf], offsets),
-        "n_punct": _per_row(_PUNCT[buf], offsets),
         "n_bytes": np.diff(offsets),
     }
 
 
+# The usual limits of the rules, by word, line or byte, and of the mean word length.
+LIMITS = {"n_symbols": 0.1, "n_upper": 0.5, "n_repeat_words": 0.4, "n_dup_lines": 0.5, "n_digits": 0.2}
+WORD_LENGTH = (3.0, 10.0)
+
+
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """Points for the forest: ratios, which don't grow with a text's length."""
-    w, b, l = (np.maximum(s[k], 1).astype(float) for k in ("n_words", "n_bytes", "n_lines"))
-    return np.column_stack(
-        [
-            s["word_chars"] / w,
-            s["n_symbols"] / w,
-            s["n_dup_lines"] / l,
-            s["n_repeat_words"] / w,
-            s["n_upper"] / b,
-            s["n_digits"] / b,
-            s["n_punct"] / w,
-            s["n_distinct"] / w ** 0.9,
-        ]
-    )
+    """Points for the forest: by how much each rule's ratio exceeds its limit.
+
+    Ratios within their limits are alike, so that short clean texts, whose ratios scatter, aren't anomalies.
+    """
+    per = {"n_dup_lines": "n_lines", "n_digits": "n_bytes"}
+    over = [np.maximum(s[k] / np.maximum(s[per.get(k, "n_words")], 1) - limit, 0) for k, limit in LIMITS.items()]
+    length = s["word_chars"] / np.maximum(s["n_words"], 1)
+    return np.column_stack([*over, np.maximum(WORD_LENGTH[0] - length, 0), np.maximum(length - WORD_LENGTH[1], 0)])
 
 
 def _path_norm(n: float) -> float:
@@ -189,9 +185,9 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
 
 
 def _good(labels: DataFrame, key: str) -> DataFrame:
-    """Labelled keys, once each; good where no row of the key says otherwise."""
+    """Labelled keys, once each; good where no row of the key says otherwise, bad where one says so."""
     ok = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    return labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(ok.cast("int")).alias("__good"))
+    return labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(ok.cast("int")).alias("__good"), F.max((F.col("quality") == 0).cast("int")).alias("__bad"))
 
 
 def scored(points: DataFrame, forest: Forest) -> DataFrame:
@@ -220,23 +216,27 @@ def fit(points: DataFrame, labels: DataFrame, key: str = "doc_id", trees: int =
     if any(r["rank"] == 0 for r in rows):
         rows = [r for r in rows if r["rank"] == 0]
     if not rows:
-        return Forest(np.zeros((2, 8)), 1, 2, seed), float("inf")
+        return Forest(np.zeros((2, 7)), 1, 2, seed), float("inf")
     forest = Forest(np.array([r["features"] for r in rows]), trees, subsample, seed)
     bins = 2000
     found = (
-        scored(marked.filter("__good = 1").select("features"), forest)
-        .groupBy(F.least(F.floor(F.col("anomaly") * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+        scored(marked.filter("__good = 1 or __bad = 1").select("features", "__bad"), forest)
+        .groupBy("__bad", F.least(F.floor(F.col("anomaly") * bins), F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count("*").alias("n"))
         .collect()
     )
-    good = np.zeros(bins)
+    counts = np.zeros((2, bins))
     for r in found:
-        good[max(r["bin"], 0)] += r["n"]
-    if not good.sum():
+        counts[r["__bad"], max(r["bin"], 0)] += r["n"]
+    good, bad = counts[:, ::-1].cumsum(1)[:, ::-1]  # rows in this bin or a higher one
+    if not good[0]:
+        return forest, float("inf")
+    cut = np.flatnonzero(good <= max_good_loss * good[0])
+    if not len(cut):
         return forest, float("inf")
-    above = good[::-1].cumsum()[::-1] / good.sum()  # share of good rows in this bin or a higher one
-    cut = np.flatnonzero(above <= max_good_loss)
-    return forest, float(cut[0] / bins) if len(cut) else float("inf")
+    # in the middle of the range that catches the same bad rows
+    same = np.flatnonzero(bad >= 0.99 * bad[cut[0]])[-1] if bad[cut[0]] else cut[0]
+    return forest, float((cut[0] + max(same, cut[0])) / 2 / bins)
 
 
 def base_failed():
