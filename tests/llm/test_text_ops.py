@@ -215,6 +215,41 @@ def test_decontamination(spark):
     assert decontamination.scan(frame(spark, rows), bench.limit(0)).count() == 0 and decontamination.scan(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 50])
+def test_decontamination_at_every_edit_count(spark, copies):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"{rng.choice(VOCAB)}{i}x{j}" for j in range(size))) for i, size in enumerate([30, 30, 24, 15, 12])]
+    rows, texts = [], []
+    for i, item in items:
+        w = item.split()
+        for edits in range(len(w) // 3 + 1):
+            cut = list(w)
+            for e in range(edits):  # evenly spread
+                cut[(e + 1) * len(w) // (edits + 1)] = f"new{i}e{edits}x{e}"
+            texts.append((i, f"{prose(30, rng)} {' '.join(cut)} {prose(30, rng)}"))
+    # fragments of the items elsewhere, so that broken seeds are not the rarest
+    rows += [(10_000 + i * 100 + j, f"{prose(5, rng)} {' '.join(item.split()[j : j + 3])} {prose(5, rng)}") for i, item in items for j in range(len(item.split()) - 2)]
+    rows += [(100 * t + c, text) for t, (_, text) in enumerate(texts) for c in range(copies)]
+    want = Counter()
+    bench = dict(items)
+    hashed = lambda t: np.array([hash(x) & (1 << 60) - 1 for x in words(t)], np.uint64)
+    for k, t in rows:
+        for i, item in bench.items():
+            if decontamination.align(hashed(item), hashed(t))[0] / (2 * len(words(item))) >= 0.6:
+                want[k, i] += 1
+    got = decontamination.scan(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in got) == want
+    assert len(want) >= 30 * copies
+
+
+def test_common_seeds_are_put_aside_safely():
+    seeds = decontamination.Seeds([" ".join(f"w{i}" for i in range(30))], 3)
+    seeds.keep_rare(np.arange(28) + 5000, 0.6)
+    assert seeds.kept.sum() == 25  # 8 edits break at most 24
+    seeds.keep_rare(np.arange(28), 0.6)
+    assert seeds.kept.all()
+
+
 def test_align():
     h = lambda s: np.array([ord(c) for c in s], np.uint64)
     assert decontamination.align(h("abcdef"), h("xxabcdefyy")) == (12, 8)

@@ -1,12 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Method. Words are runs of ASCII letters and digits (lower-cased) and of non-ASCII bytes. Every n-gram of a test
-item is a seed. Document frequencies of all seeds are counted over the whole corpus; an item keeps
-the seeds at or below the median frequency of its own seeds. (An item copied into many documents
-raises all its seeds alike, so no item loses its seeds by being leaked often.) Passages in which
-two kept seeds of one item stand within an item's length are aligned with it: match +2, mismatch
--1, gap -1. score is the best local alignment over twice the item's words; at `min_score` or more
-the document is contaminated. Edited and paraphrased copies still score in proportion.
+item is a seed. Document frequencies of all seeds are counted over the whole corpus; a seed in more
+than `COMMON` documents is put aside, but an item always keeps its n * e + 1 rarest seeds, where e
+is the most replaced or lost words with which a copy scores min_score. Each of them breaks at most
+n seeds, so a kept seed outlives if any e edits leave n words in a row, however often the item or
+an edited copy of it leaks. The surroundings of every kept seed are aligned with its item: match
++2, mismatch -1, gap -1. Those that hold too few of the item's words to reach min_score are passed
+over first. score is the best local alignment over twice the item's words; at `min_score` or more
+the document is contaminated.
+
+Limit. A copy without n words in a row of the item has no seed: very short items with an edit in
+each n words, or a word put in after every n - 1. Such copies are not found.
 
 Bounds. The test items are the stated query set. They are taken in blocks of at most block_words
 words, each of which is scanned against all documents; only a block's seeds travel to executors.
@@ -29,7 +34,7 @@ from pyspark.sql.types import StructType
 
 from vellum.llm import common as C
 
-N, MIN_SCORE, BLOCK_WORDS = 3, 0.6, 1_000_000
+N, MIN_SCORE, BLOCK_WORDS, COMMON = 3, 0.6, 1_000_000, 1000
 FILTER_BITS = 22
 
 
@@ -70,18 +75,17 @@ class Seeds:
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[(self.seeds & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
-    def keep_rare(self, frequency: np.ndarray) -> None:
-        """frequency: documents by seed. Keep each item's seeds at or below its median."""
+    def keep_rare(self, frequency: np.ndarray, min_score: float, common: int = COMMON) -> None:
+        """frequency: documents by seed. Put aside common seeds beyond those that any e edits can't all break."""
         if not len(self.item):
             return
         f = np.repeat(frequency, np.diff(self.at))
         order = np.lexsort((f, self.item))
-        ordered = f[order]
         first = np.flatnonzero(np.concatenate(([True], np.diff(self.item[order]) > 0)))
-        n = np.diff(np.append(first, len(order)))
-        median = np.zeros(len(self.items))
-        median[self.item[order][first]] = (ordered[first + (n - 1) // 2] + ordered[first + n // 2]) / 2
-        self.kept = f <= median[self.item]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        edits = np.floor(2 * self.lengths * (1 - min_score) / 3 + 1e-9).astype(np.int64)
+        self.kept = (f <= common) | (place <= self.n * edits[self.item])
 
     def find(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, word place and seed of all hits."""
@@ -131,12 +135,14 @@ def matches(seeds: Seeds, h: np.ndarray, first: np.ndarray, min_score: float) ->
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         i, r = int(item[a]), int(row[a])
         words = seeds.items[i]
-        if b - a < 2 and len(words) >= 2 * seeds.n:
-            continue
-        slack = len(words) // 4 + 4
+        slack = int(2 * len(words) * (1 - min_score)) + 1  # more gaps would cost too much
         lo = max(int(first[r]), int((place[a:b] - offset[a:b]).min()) - slack)
         hi = min(int(first[r + 1]), int((place[a:b] - offset[a:b]).max()) + len(words) + slack)
-        score, end = align(words, h[lo:hi])
+        near = h[lo:hi]
+        # matched words bound the score
+        if np.isin(words, near).sum() / len(words) < min_score or np.isin(near, words).sum() / len(words) < min_score:
+            continue
+        score, end = align(words, near)
         share = score / (2 * len(words))
         if share >= min_score and share > found.get((r, i), (0,))[0]:
             _, back = align(words[::-1], h[lo : lo + end][::-1])
@@ -159,7 +165,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iter
         yield ids, texts
 
 
-def prepared(docs: DataFrame, texts: list[str], text: str, n: int) -> Seeds:
+def prepared(docs: DataFrame, texts: list[str], text: str, n: int, min_score: float) -> Seeds:
     """The seeds of a block, with those that are frequent for their item put aside."""
     seeds = Seeds(texts, n)
 
@@ -177,7 +183,7 @@ def prepared(docs: DataFrame, texts: list[str], text: str, n: int) -> Seeds:
     frequency = np.zeros(len(seeds.seeds), np.int64)
     for r in counted.collect():  # at most a row for each seed of the block
         frequency[r["s"]] = r["n"]
-    seeds.keep_rare(frequency)
+    seeds.keep_rare(frequency, min_score)
     return seeds
 
 
@@ -187,7 +193,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     out = docs.sparkSession.createDataFrame([], schema)
     kind = pa.int64() if benchmark.schema[item].dataType.simpleString() == "bigint" else None
     for ids, texts in blocks(benchmark, item, item_text, block_words):
-        seeds = prepared(docs, texts, text, n)
+        seeds = prepared(docs, texts, text, n, min_score)
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds, ids: list = ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -204,7 +210,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that match no item, all columns as they were."""
     for _, texts in blocks(benchmark, item, item_text, block_words):
-        seeds = prepared(docs, texts, text, n)
+        seeds = prepared(docs, texts, text, n, min_score)
         boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
