@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vellum import catalog
 from vellum.operators import distill, lexical, metrics, rank, sampling, vector
 
 
@@ -51,6 +52,12 @@ def test_backends_find_a_stored_vector(spark):
     assert [r["vec_id"] for r in vector.topk_one(df, v[3].tolist(), 2).collect()][0] == 3
 
 
+def test_ivf_recall_at_production_parameters(spark):
+    sf = "/root/testdata/sf0.001"
+    assert vector.recall(catalog.QUERIES["ivf_probe"](spark, sf), catalog.QUERIES["knn_batch"](spark, sf)).first()["recall"] >= 0.9
+    assert catalog.QUERIES["ivf_recall"](spark, sf).first()["recall"] >= 0.9
+
+
 def test_synthetic(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit(10, 8, 2))], "vec_id long, embedding array<float>")
     out = vector.synthetic(df, 25).collect()

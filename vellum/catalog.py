@@ -621,7 +621,12 @@ def recall_at_k(spark, sf):
 
 @query("ivf_probe")
 def ivf_probe(spark, sf):
-    return vector.ivf(*_vectors(spark, sf), 10, probes=16)
+    return vector.ivf(*_vectors(spark, sf), 10, probes=16, min_recall=0.9)
+
+
+@query("ivf_recall")
+def ivf_recall(spark, sf):
+    return vector.recall(ivf_probe(spark, sf), vector.topk(*_vectors(spark, sf), 10))
 
 
 @query("synthetic_vectors")
