@@ -283,6 +283,30 @@ def test_licenses(spark):
     assert {r["labels"] for r in license_scan.scan(frame(spark, rows), max_template_grams=1).collect()} == {r["labels"] for r in got}
 
 
+def test_license_families(spark):
+    fsf = " as published by the Free Software Foundation"
+    cases = [
+        ("Our album was released under the new label.", ""),
+        ("Released under the Apache License, Version 2.0.", "apache-2"),
+        ("This work is licensed under the GNU General Public License, version 2", ""),
+        ("This work is licensed under the GNU General Public License, version 3", "gpl-3"),
+        ("You can redistribute it under the terms of the GNU General Public License" + fsf + "; either version 2 of the License, or (at your option) any later version.", "gpl-2"),
+        ("under the terms of the GNU Lesser General Public License" + fsf + ", either version 3 of the License, or any later version", "lgpl"),
+        ("under the terms of the GNU Affero General Public License" + fsf + ", either version 3 of the License, or any later version", "agpl-3"),
+        ("This is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("This is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("This is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("This is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ""),
+        ("Released under the MIT License", "mit"),
+    ]
+    cases += [(cases[1][0] + " " + cases[8][0], "apache-2,cc-by-nc")]
+    rows = [(i, t) for i, (t, _) in enumerate(cases)]
+    for limit in (200_000, 60):
+        got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, rows), max_template_grams=limit).collect()}
+        assert [got[i]["labels"] for i, _ in rows] == [x for _, x in cases]
+    assert got[0]["score"] == 0.0 and got[7]["score"] == 1.0
+
+
 # --- quality --------------------------------------------------------------------------------
 
 

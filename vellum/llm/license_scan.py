@@ -1,17 +1,20 @@
 """License scans by diagonal voting.
 
 Method. Words are runs of ASCII letters and digits (lower-cased) and of non-ASCII bytes. Hashes of
-all rolling k-grams of every text join the positions of the same k-grams in license templates. A
+all rolling k-grams of every text meet the positions of the same k-grams in license templates. A
 hit votes for its diagonal, text position minus template position. Neighbouring diagonals (an
-inserted or lost word shifts a match to the next one) are merged. A merged span is verified: the
-template words under its k-grams must reach `min_cover` of the template, and the span in the text
-may be at most `max_stretch` times as long as the part of the template that it matches.
+inserted or lost word shifts a match to the next one) are merged. A merged span is verified where
+the text is read: its words are compared with the template's along its diagonals, and the equal
+ones must reach `min_cover` of the template and k + 3 words (or all of a shorter template). The
+distinguishing words (MARKS) of the span and of the template must be the same. The span may be at
+most `max_stretch` times as long as the part of the template that it matches. Of overlapping spans
+those with the most equal words count.
 
 Besides the templates, fixed phrases are found word by word; their labels are always reported.
 
-Scale. k-gram rows leave Python in Arrow batches and meet the templates in a broadcast join; the
-templates are a parameter whose size is checked (max_template_grams), beyond which Spark picks a
-shuffled join. Votes are summed before they move, and texts never move.
+Scale. Templates travel to the texts in blocks of at most max_template_grams k-grams (one template
+at least), each of which takes a scan of its own. Texts never move; only a row of results for each
+text does, and only if there are several blocks.
 
 Defined results. Null text counts as empty: no words, no labels, score 0. Every row has a result of
 its own, also repeated rows and null keys. Empty tables give empty results.
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,6 +56,9 @@ TEMPLATES = [
     ("cc0", "dedicated to the public domain under the Creative Commons CC0 1.0 Universal public domain dedication"),
 ]
 
+# Words and word pairs that tell licenses apart.
+MARKS = ["mit", "apache", "lesser", "library", "affero", "mozilla", "attribution", "noncommercial", "sharealike", "noderivatives", "noderivs", "cc0", "version 1", "version 2", "version 3", "v 1", "v 2", "v 3"]
+
 
 def hashed(texts: list[str], k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Word hashes and k-gram hashes of each text."""
@@ -67,14 +73,90 @@ def hashed(texts: list[str], k: int) -> tuple[list[np.ndarray], list[np.ndarray]
     return words, grams
 
 
-def rows_of(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """For each text one row with place -1 and its base columns, and one for each k-gram with its place and hash."""
+class Templates:
+    """A block of templates; gram s stands at (item[at[s]:at[s + 1]], offset[...])."""
+
+    def __init__(self, templates: list[tuple[str, str]], k: int):
+        self.k, self.labels = k, [label for label, _ in templates]
+        self.words, grams = hashed([t for _, t in templates], k)
+        marks, _ = hashed(MARKS, 1)
+        self.marks = [(m[0], m[1] if len(m) > 1 else None) for m in marks]
+        self.marked = [self.marks_of(w) for w in self.words]
+        every = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+        self.offset = np.concatenate([np.arange(len(g)) for g in grams] + [np.zeros(0, np.int64)])[order].astype(np.int64)
+        self.grams, at = np.unique(every[order], return_index=True)
+        self.at = np.append(at, len(every))
+
+    def marks_of(self, w: np.ndarray) -> frozenset[int]:
+        out = set()
+        for i, (a, b) in enumerate(self.marks):
+            at = np.flatnonzero(w == a)
+            if len(at) and (b is None or (w[at[at + 1 < len(w)] + 1] == b).any()):
+                out.add(i)
+        return frozenset(out)
+
+    def spans(self, h: np.ndarray, first: np.ndarray, min_cover: float, max_stretch: float, gap: int) -> list[list[tuple[int, int, int, int, str]]]:
+        """For each row the verified (from, to, equal words, template words, label)."""
+        out: list[list[tuple[int, int, int, int, str]]] = [[] for _ in range(len(first) - 1)]
+        g, counts = C.grams(h, first, self.k)
+        if not len(g) or not len(self.grams):
+            return out
+        s = np.searchsorted(self.grams, g)
+        s[s == len(self.grams)] = 0
+        near = np.flatnonzero(self.grams[s] == g)
+        s = s[near]
+        begin = np.concatenate(([0], np.cumsum(counts)))
+        row = np.searchsorted(begin, near, "right") - 1
+        place = near - begin[row] + first[row]
+        many = self.at[s + 1] - self.at[s]
+        src = np.repeat(self.at[s], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row, place, tpl, offset = np.repeat(row, many), np.repeat(place, many), self.item[src], self.offset[src]
+        diagonal = place - offset
+        order = np.lexsort((place, diagonal, tpl, row))
+        row, place, tpl, offset, diagonal = row[order], place[order], tpl[order], offset[order], diagonal[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (tpl[1:] != tpl[:-1]) | (diagonal[1:] - diagonal[:-1] > gap)
+        cut = np.append(np.flatnonzero(new), len(row))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            words, r = self.words[tpl[a]], int(row[a])
+            lo, hi = int(place[a:b].min()), int(place[a:b].max()) + self.k
+            reach = int(offset[a:b].max() - offset[a:b].min()) + self.k
+            if hi - lo > max_stretch * reach or self.marks_of(h[lo:hi]) != self.marked[tpl[a]]:
+                continue
+            equal = np.zeros(len(words), bool)
+            for d in np.unique(diagonal[a:b]):
+                x, y = max(lo, int(d)), min(hi, int(d) + len(words))
+                equal[x - d : y - d] |= h[x:y] == words[x - d : y - d]
+            n = int(equal.sum())
+            if n >= max(min_cover * len(words), min(self.k + 3, len(words))):
+                out[r].append((lo - int(first[r]), hi - int(first[r]), n, len(words), self.labels[tpl[a]]))
+        return out
+
+
+def best(spans: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int, int, int, str]]:
+    """The spans that no overlapping one with more equal words beats."""
+    out, group, end = [], [], 0
+    for x in [*sorted(spans), None]:
+        if group and (x is None or x[0] >= end):
+            out += [y for y in group if not any(z[2] > y[2] and z[0] < y[1] and y[0] < z[1] for z in group)]
+            group, end = [], 0
+        if x is not None:
+            group.append(x)
+            end = max(end, x[1])
+    return out
+
+
+def rows_of(docs: DataFrame, key: str, text: str, block: Templates, min_cover: float, max_stretch: float, gap: int) -> DataFrame:
+    """uid, key, base columns and the verified spans for each text."""
     phrases, _ = hashed(list(PHRASES), 1)
     labels = list(PHRASES.values())
-    schema = StructType().add("uid", "long").add("place", "integer").add("gram", "long").add("key", docs.schema[key].dataType)
+    schema = StructType().add("uid", "long").add("key", docs.schema[key].dataType)
     for c in ("n_words", "n_base", "first_word", "last_word"):
         schema = schema.add(c, "long")
-    schema = schema.add("base_labels", "string")
+    schema = StructType([*schema.add("base_labels", "string").fields, *StructType.fromDDL("spans array<struct<lo:long,hi:long,equal:long,size:long,label:string>>").fields])
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("equal", pa.int64()), ("size", pa.int64()), ("label", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,62 +182,53 @@ def rows_of(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                     for r in set(row.tolist()):
                         got[r].add(label)
                 none = n_base == 0
-                g, counts = C.grams(h, first, k)
-                begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
-                place = np.arange(len(g)) - np.repeat(begin, counts)
-                nulls = pa.nulls(len(g), pa.int64())
+                spans = [[dict(zip(("lo", "hi", "equal", "size", "label"), x, strict=True)) for x in best(xs)] for xs in block.spans(h, first, min_cover, max_stretch, gap)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(uid[lo:hi]),
-                        pa.array(np.full(n, -1, np.int32)),
-                        pa.nulls(n, pa.int64()),
                         batch.column(1).slice(lo, n),
                         pa.array(np.diff(first)),
                         pa.array(n_base),
                         pa.array(least, mask=none),
                         pa.array(most, mask=none),
                         pa.array([",".join(sorted(x)) for x in got], pa.string()),
+                        pa.array(spans, kind),
                     ],
                     schema.names,
                 )
-                if len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uid[lo:hi], counts)), pa.array(place.astype(np.int32)), C.long_of(g), pa.nulls(len(g), batch.column(1).type), nulls, nulls, nulls, nulls, pa.nulls(len(g), pa.string())], schema.names)
 
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     return source.mapInArrow(run, schema)
 
 
+def blocks(templates: list[tuple[str, str]], k: int, limit: int) -> list[list[tuple[str, str]]]:
+    out, size = [[]], 0
+    for x, g in zip(templates, hashed([t for _, t in templates], k)[1], strict=True):
+        if out[-1] and size + len(g) > limit:
+            out.append([])
+            size = 0
+        out[-1].append(x)
+        size += len(g)
+    return out
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, k: int = K, min_cover: float = 0.6, max_stretch: float = 1.5, gap: int = 2, max_template_grams: int = 200_000) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs."""
-    spark = docs.sparkSession
-    templates = TEMPLATES if templates is None else templates
-    words, grams = hashed([t for _, t in templates], k)
-    places = [(int(g.astype(np.int64)), t, p) for t, gs in enumerate(grams) for p, g in enumerate(gs)]
-    where = spark.createDataFrame(places or [(0, -1, 0)], "gram long, tpl int, tplace int")
-    sizes = spark.createDataFrame([(t, label, len(w)) for t, ((label, _), w) in enumerate(zip(templates, words, strict=True))] or [(-2, "", 1)], "tpl int, label string, size int")
-    if len(places) <= max_template_grams:
-        where, sizes = F.broadcast(where), F.broadcast(sizes)
-    rows = rows_of(docs, key, text, k)
-    hits = rows.join(where, "gram", "left").filter("tpl is not null or place = -1")
-    diagonal = F.when(F.col("place") >= 0, F.col("place") - F.col("tplace")).otherwise(0)
-    carried = ["key", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-    votes = hits.groupBy("uid", F.coalesce("tpl", F.lit(-1)).alias("tpl"), diagonal.alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.min("tplace").alias("tlo"), F.max("tplace").alias("thi"), *[F.max(c).alias(c) for c in carried]
-    )
-    # one exchange by text serves what follows
-    votes = votes.repartition("uid")
-    w = Window.partitionBy("uid", "tpl").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > gap, F.lit(True)).cast("int")
-    merged = votes.withColumn("apart", apart).withColumn("span", F.sum("apart").over(w))
-    spans = merged.groupBy("uid", "tpl", "span").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("tlo").alias("tlo"), F.max("thi").alias("thi"), *[F.max(c).alias(c) for c in carried])
-    spans = spans.join(sizes, "tpl", "left")
-    # words under the k-grams: votes + k - 1 on one diagonal; repeats can't count beyond the template's part
-    reach = F.col("thi") - F.col("tlo") + k
-    cover = F.least(F.col("votes") + (k - 1), reach) / F.col("size")
-    good = (cover >= min_cover) & (F.col("hi") - F.col("lo") + k <= max_stretch * reach)
-    spans = spans.withColumn("cover", F.when(good, F.least(cover, F.lit(1.0))))
-    out = spans.groupBy("uid").agg(*[F.max(c).alias(c) for c in carried], F.max("cover").alias("cover"), F.collect_set(F.when(F.col("cover").isNotNull(), F.col("label"))).alias("more"))
+    out = None
+    for some in blocks(TEMPLATES if templates is None else templates, k, max_template_grams):
+        rows = rows_of(docs, key, text, Templates(some, k), min_cover, max_stretch, gap)
+        if out is None:
+            out, passes = rows, 1
+        else:
+            out, passes = out.unionByName(rows), passes + 1
+    if passes > 1:
+        carried = [F.max(c).alias(c) for c in out.columns[1:-1]]
+        out = out.groupBy("uid").agg(*carried, F.flatten(F.collect_list("spans")).alias("spans"))
+        beaten = lambda y: F.exists("spans", lambda z: (z["equal"] > y["equal"]) & (z["lo"] < y["hi"]) & (y["lo"] < z["hi"]))
+        out = out.withColumn("spans", F.filter("spans", lambda y: ~beaten(y)))
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")
+    more = F.transform("spans", lambda x: x["label"])
+    cover = F.array_max(F.transform("spans", lambda x: x["equal"] / x["size"]))
     return out.select(
         F.col("key").alias(key),
         "n_words",
@@ -163,8 +236,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
         "first_word",
         "last_word",
         "base_labels",
-        F.array_join(F.array_sort(F.array_union(base, F.col("more"))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("cover", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(cover, F.lit(0.0))).alias("score"),
     )
 
 
