@@ -1,6 +1,7 @@
 """Secret scan, line chunks, ring sharding and mixing against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -80,6 +81,24 @@ def test_line_chunks(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
 
 
+def test_line_chunks_of_copies_and_passages(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(4))
+    copies = ["\n".join(line() for _ in range(n)) for n in range(2, 42)]
+    rows = [(100 * c + i, t, "s") for c in range(3) for i, t in enumerate(copies)]
+    for size in (5, 10, 20):
+        for i in range(40):
+            passage = [line() for _ in range(size)]
+            rows += [(1000 * size + 100 * c + i, "\n".join([*[line() for _ in range(7)], *passage, *[line() for _ in range(7)]]), "s") for c in range(2)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(frame(spark, rows)).collect()}
+    assert all(got[i]["n_removed_lines"] == 0 and got[i]["text"] == t for i, t in enumerate(copies))
+    assert all(got[100 * c + i]["n_removed_lines"] == len(t.split("\n")) for c in (1, 2) for i, t in enumerate(copies))
+    for size, least in ((5, 0.3), (10, 0.6), (20, 0.8)):
+        assert all(got[1000 * size + i]["n_removed_lines"] == 0 for i in range(40))
+        gone = [got[1000 * size + 100 + i]["n_removed_lines"] for i in range(40)]
+        assert max(gone) <= size and sum(gone) / 40 / size >= least
+
+
 def test_ring(spark):
     rows = [(i, "x" * (i % 9), "s") for i in range(999)] + [(None, None, "s")] * 3 + [(5, "same", "s")] * 50
     got = sharding.shard(frame(spark, rows)).collect()

@@ -1,10 +1,15 @@
 """Line dedup by content-defined chunks of lines. DataFrame functions only.
 
-Method. Each line is hashed; a hash rolling over two neighbouring line hashes ends a chunk where it
-is 0 modulo `divisor`. Boundaries depend on nearby lines only, so inserted or lost lines move just
-the boundaries next to them. Chunks of two or more lines that occur more than once in the whole
-corpus are candidates by hash; candidates are then grouped by their bytes, and every occurrence but
-the first (by key, then place) is removed.
+Method. Each line is hashed; a hash rolling over two neighbouring line hashes sets a boundary where
+it is less than the others of the `divisor` around it, so boundaries are about `divisor` lines apart
+and never fewer than `min_lines`. From each boundary on, lines are taken in chunks of `min_lines`
+(the last before the next boundary takes the rest), so no chunk is too short to count. Boundaries
+depend on nearby lines only, so inserted or lost lines move just the chunks next to them. Chunks
+that occur more than once in the whole corpus are candidates by hash; candidates are then grouped
+by their bytes, and every occurrence but the first (by key, then place) is removed.
+
+Limit. Of a passage within otherwise different texts, the lines before its first boundary and
+those that share a chunk with lines after its end stay.
 
 Scale. Occurrences are counted with partial aggregation; a chunk that fills a third of the corpus
 is one row a task there. Its occurrences are looked up by a join that Spark may split. Only
@@ -24,7 +29,7 @@ from vellum.llm import common as C
 DIVISOR, MIN_LINES = 3, 2
 
 
-def chunked(docs: DataFrame, key: str, text: str, divisor: int) -> DataFrame:
+def chunked(docs: DataFrame, key: str, text: str, divisor: int, min_lines: int = MIN_LINES) -> DataFrame:
     """Identity of each row, its lines and the 1-based (from, to) of its chunks."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     k = F.col(f"`{key}`")
@@ -33,12 +38,27 @@ def chunked(docs: DataFrame, key: str, text: str, divisor: int) -> DataFrame:
     df = df.select(*ids, "__lines", _once(F.transform("__lines", lambda x: F.xxhash64(x))).alias("__hash"))
     n = F.size("__lines")
     # entry i looks at lines i + 1 and i + 2 (from 1)
-    rolls = F.zip_with(F.slice("__hash", 2, F.greatest(n - 1, F.lit(1))), F.col("__hash"), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(divisor)))
-    ends = F.filter(F.transform(rolls, lambda x, i: F.when(x == 0, i + 2)), lambda e: e.isNotNull())
-    df = df.select(*ids, "__lines", _once(F.array_union(F.filter(ends, lambda e: e < F.size("__hash")), F.array(n))).alias("__ends"))
+    rolls = F.zip_with(F.slice("__hash", 2, F.greatest(n - 1, F.lit(1))), F.col("__hash"), lambda a, b: F.xxhash64(a, b))
+    df = df.select(*ids, "__lines", _once(rolls).alias("__rolls"))
+    reach = max(divisor // 2, min_lines - 1)
+
+    def least(x: Column, i: Column) -> Column:
+        out = (i + 2 >= min_lines) & (i + 2 + min_lines <= F.size("__lines"))
+        for d in (d for d in range(-reach, reach + 1) if d):
+            out = out & F.coalesce(x < F.get("__rolls", i + d), F.lit(True))
+        return out
+
+    ends = F.filter(F.transform("__rolls", lambda x, i: F.when(least(x, i), i + 2)), lambda e: e.isNotNull())
+    df = df.select(*ids, "__lines", _once(F.concat(ends, F.array(n))).alias("__ends"))
     starts = F.concat(F.array(F.lit(1)), F.transform("__ends", lambda e: e + 1))
     chunks = F.zip_with(F.slice(starts, F.lit(1), F.size("__ends")), F.col("__ends"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return df.select(*ids, "__lines", _once(chunks).alias("__chunks"))
+    df = df.select(*ids, "__lines", _once(chunks).alias("__long"))
+
+    def pieces(c: Column) -> Column:
+        last = F.greatest(F.floor((c["b"] - c["a"] + 1) / min_lines).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda j: F.struct((c["a"] + j * min_lines).alias("a"), F.when(j == last, c["b"]).otherwise(c["a"] + (j + 1) * min_lines - 1).alias("b")))
+
+    return df.select(*ids, "__lines", _once(F.flatten(F.transform("__long", pieces))).alias("__chunks"))
 
 
 def _once(col: Column) -> Column:
@@ -49,7 +69,7 @@ def _once(col: Column) -> Column:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """key, kept text, n_lines, n_removed_lines, n_removed_chunks for each row."""
     ids = ["__null", "__k", "__h"]
-    base = chunked(docs, key, text, divisor)
+    base = chunked(docs, key, text, divisor, min_lines)
     parts = base.select(*ids, "__lines", F.explode("__chunks").alias("c")).filter(F.col("c.b") - F.col("c.a") + 1 >= min_lines)
     parts = parts.select(*ids, F.col("c.a").alias("at"), F.array_join(F.slice("__lines", F.col("c.a"), F.col("c.b") - F.col("c.a") + 1), "\n").alias("body")).withColumn("sum", F.xxhash64("body"))
     often = parts.groupBy("sum").agg(F.count("*").alias("n")).filter("n > 1").select("sum")
