@@ -58,6 +58,26 @@ def test_ivf_recall_at_production_parameters(spark):
     assert catalog.QUERIES["ivf_recall"](spark, sf).first()["recall"] >= 0.9
 
 
+def test_hybrid_has_a_dense_arm(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids, encode = list(docs), vector.hash_encoder(64)
+    v = encode([docs[i] for i in ids]).astype(np.float32).astype(float)
+    arms = catalog._hybrid(spark, sf).persist()
+    got = arms.filter("arm = 1").collect()
+    q = catalog.V.queries(spark, sf).collect()
+    assert len(got) == len(q) * min(50, len(ids))
+    for r in q:
+        s = np.round(v @ encode([r["query"]])[0].astype(np.float32).astype(float), 6)
+        want = sorted(zip(-s, ids, strict=True))[:50]
+        mine = sorted((x["rank"], x["doc"]) for x in got if x["qid"] == r["qid"])
+        assert [-s[ids.index(d)] for _, d in mine] == pytest.approx([x for x, _ in want], abs=2e-6)
+    assert arms.filter("arm = 0 and rank > 10").count() > 0
+    found = {(r["qid"], r["doc"]) for r in rank.union(arms).collect()}
+    top = catalog.QUERIES["rerank_topk"](spark, sf).collect()
+    assert top and {(r["qid"], r["doc"]) for r in top} <= found
+
+
 def test_synthetic(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit(10, 8, 2))], "vec_id long, embedding array<float>")
     out = vector.synthetic(df, 25).collect()

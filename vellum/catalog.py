@@ -668,9 +668,32 @@ def candidate_union(spark, sf):
     return rank.union(_arms(spark, sf))
 
 
+def _hybrid(spark, sf, depth: int = 50):
+    """The lexical and the dense arm, each over all documents for whole queries."""
+    docs, q, encode = V.table(spark, sf, "documents"), V.queries(spark, sf), vector.hash_encoder(64)
+    lex = lexical.search(lexical.index(docs, "doc_id", "text"), q, depth).select("qid", F.lit(0).alias("arm"), "rank", "doc")
+    near = vector.topk(vector.embed(docs, encode, "doc_id", "text"), vector.embed(q, encode, "qid", "query"), depth, key="doc_id")
+    return lex.unionByName(near.select("qid", F.lit(1).alias("arm"), "rank", F.col("doc_id").alias("doc")))
+
+
+@query("hybrid_fusion")
+def hybrid_fusion(spark, sf):
+    return rank.rrf(_hybrid(spark, sf), 10)
+
+
+@query("hybrid_union")
+def hybrid_union(spark, sf):
+    return rank.union(_hybrid(spark, sf))
+
+
+@query("hybrid_p_at_k")
+def hybrid_p_at_k(spark, sf):
+    return metrics.precision_at(hybrid_fusion(spark, sf), V.judged(spark, sf), V.queries(spark, sf), 10)
+
+
 @query("rerank_topk")
 def rerank_topk(spark, sf):
-    c = rank.union(_arms(spark, sf)).join(V.queries(spark, sf), "qid").join(V.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc")
+    c = rank.union(_hybrid(spark, sf)).join(V.queries(spark, sf), "qid").join(V.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc")
     return vector.rerank(c, vector.overlap_scorer, 5)
 
 
