@@ -99,3 +99,13 @@ def test_versioned_table(spark, tmp_path):
     before = t.read()
     t.write(before.union(spark.range(1)))
     assert (before.count(), t.read().count()) == (3, 4)
+
+
+def test_whole_texts_are_rebuilt(spark):
+    from vellum import catalog
+
+    sf = "/root/testdata/sf0.001"
+    want = {r["doc_id"]: " ".join(x for x in (r["text"] or "").split(" ") if x) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = catalog.QUERIES["rebuild_abstract_whole"](spark, sf).collect()
+    assert {r["doc_id"]: r["rebuilt"] for r in got} == want
+    assert max(len(r["rebuilt"].split(" ")) for r in got) > 5

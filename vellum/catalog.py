@@ -112,6 +112,15 @@ def rebuild_abstract(spark, sf):
     return d.select("doc_id", F.coalesce(R.rebuilt_text(inverted), F.lit("")).alias("rebuilt"))
 
 
+@query("rebuild_abstract_whole", "SELECT doc_id, coalesce(array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' '), '') AS rebuilt FROM documents")
+def rebuild_abstract_whole(spark, sf):
+    d = V.table(spark, sf, "documents").withColumn("uid", F.monotonically_increasing_id())
+    words = d.select("uid", "doc_id", F.posexplode_outer(F.filter(F.split("text", " "), lambda x: x != "")).alias("p", "w"))
+    entries = words.groupBy("uid", "doc_id", "w").agg(F.collect_list("p").alias("at"))
+    inverted = entries.groupBy("uid", "doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "at")))).alias("inverted"))
+    return inverted.select("doc_id", F.coalesce(R.rebuilt_text(F.col("inverted")), F.lit("")).alias("rebuilt"))
+
+
 # --- pending sets ---------------------------------------------------------------------------
 
 WA = D.ctes(D.WORKS, D.ABSTRACTS)
