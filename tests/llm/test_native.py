@@ -1,5 +1,6 @@
 """Secret scan, line chunks, ring sharding and mixing against plain Python."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -99,6 +100,35 @@ def test_line_chunks_of_copies_and_passages(spark):
         assert max(gone) <= size and sum(gone) / 40 / size >= least
 
 
+def brute_ring(rows, shards, vnodes):
+    """Rows (key, text) in ring order, seated one by one: first at home, then clockwise where there is room."""
+    place = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    nodes = {}
+    for s in range(shards):
+        for v in range(vnodes):
+            nodes.setdefault(place(f"{s}:{v}"), s)
+    points = sorted(nodes.items())
+    ends = [p for p, _ in points]
+    quota = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    arc = {r: bisect.bisect_left(ends, place(r[1] or "")) % len(ends) for r in rows}
+    line = sorted(rows, key=lambda r: (arc[r], place(r[1] or ""), r[0]))
+    held, at, walking = Counter(), {}, []
+    for r in line:
+        home = points[arc[r]][1]
+        if held[home] < quota[home]:
+            at[r] = home
+            held[home] += 1
+        else:
+            walking.append(r)
+    for r in walking:
+        k = (arc[r] + 1) % len(ends)
+        while held[points[k][1]] >= quota[points[k][1]]:
+            k = (k + 1) % len(ends)
+        at[r] = points[k][1]
+        held[at[r]] += 1
+    return at
+
+
 def test_ring(spark):
     rows = [(i, "x" * (i % 9), "s") for i in range(999)] + [(None, None, "s")] * 3 + [(5, "same", "s")] * 50
     got = sharding.shard(frame(spark, rows)).collect()
@@ -110,9 +140,33 @@ def test_ring(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert {r["size"] for r in got if r["doc_id"] is None} == {16} and sum(r["text_crc32"] == 0 for r in got if r["doc_id"] is None) == 3
     again = sharding.shard(frame(spark, rows[::-1])).collect()
-    key = lambda x: sorted((r["doc_id"] or -1, r["size"], r["shard"], r["slot"]) for r in x if r["doc_id"] != 5 and r["doc_id"] is not None)
+    key = lambda x: sorted((r["doc_id"] or -1, r["size"], r["shard"], r["slot"]) for r in x)
     assert key(got) == key(again)
     assert sharding.shard(frame(spark, [])).count() == 0
+    carried = sharding.shard(frame(spark, rows), carry=["source", "size", "Shard"])
+    assert carried.columns == [*sharding.shard(frame(spark, [])).columns, "source"] and {r["size"] for r in carried.collect()} >= {16, 17}
+
+
+def test_ring_against_brute_force_and_movement(spark):
+    rows = [(i, f"text {i}" * (1 + i % 50), "s") for i in range(3000)] + [(9000 + i, "a copy", "s") for i in range(30)]
+    at = {}
+    for shards in (40, 41):
+        got = {(r["doc_id"]): r["shard"] for r in sharding.shard(frame(spark, rows), shards=shards).collect()}
+        want = brute_ring([r[:2] for r in rows], shards, sharding.VNODES)
+        assert got == {k: s for (k, _), s in want.items()}
+        at[shards] = got
+    moved = sum(at[40][k] != at[41][k] for k in at[40])
+    assert moved < 2.5 * len(rows) / 41  # a ring without quotas would move 1 in 41
+    assert len({at[40][9000 + i] for i in range(30)}) <= 2  # equal texts stand together
+
+
+def test_ring_with_a_third_of_all_rows_equal(spark):
+    rows = [(i, f"text {i}", "s") for i in range(600)] + [(10_000 + i, "the same text", "s") for i in range(300)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(frame(spark, rows), shards=10).collect()}
+    assert got == {k: s for (k, _), s in brute_ring([r[:2] for r in rows], 10, sharding.VNODES).items()}
+    assert set(Counter(got.values()).values()) == {90}
+    long = sharding.shard(frame(spark, [(1, "ab" * 400_000, "s"), (2, None, "s")]), shards=2).collect()
+    assert sorted((r["size"], r["slot"]) for r in long) == [(16, 0), (800_016, 0)]
 
 
 def test_seats():
