@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vellum.llm.oracles import ORACLES  # noqa: F401  the catalogue of this subpackage
 from vellum.llm import decontamination, license_scan, line_dedup, mixing, near_dedup, perplexity, quality_rules, secret_scan, sharding, suffix_dedup
 
 QUERIES = {
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_isolation_rules": quality_rules.query,
 }
 
-ORACLES: dict[str, str] = {}
+
