@@ -138,10 +138,16 @@ def test_agreement(spark):
     assert metrics.agreement(a.limit(0), b).first()["n"] == 0
 
 
-def test_allocation():
-    got = sampling.allocate({"big": 1000, "mid": 300, "tiny": 3}, 1000, 20)
-    assert got["tiny"] == 3 and sum(got.values()) == 1000 and all(got[s] <= n for s, n in {"big": 1000, "mid": 300, "tiny": 3}.items())
-    assert sampling.allocate({"a": 5}, 100, 2) == {"a": 5} and sampling.allocate({}, 5, 1) == {}
+def test_allocation(spark):
+    def take(sizes, n, floor):
+        df = spark.createDataFrame(list(sizes.items()), "s string, size long")
+        return {r["s"]: r["take"] for r in sampling.allocation(df, "s", n, floor).collect()}
+
+    sizes = {"big": 1000, "mid": 300, "tiny": 3}
+    got = take(sizes, 1000, 20)
+    assert got["tiny"] == 3 and sum(got.values()) == 1000 and all(got[s] <= n for s, n in sizes.items())
+    assert got["big"] == 20 + round(957 * 980 / 1260)
+    assert take({"a": 5}, 100, 2) == {"a": 5} and take({}, 5, 1) == {} and take(sizes, 0, 2) == {"big": 2, "mid": 2, "tiny": 2}
 
 
 def test_samples_repeat_and_prefixes_spread(spark):

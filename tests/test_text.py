@@ -1,5 +1,9 @@
 """Cleaning, packing, quotes and findings."""
 
+import hashlib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +98,25 @@ def test_locate():
     assert E.locate("ﬁnd it", "find") == (0, 3)
 
 
+def test_locate_against_all_spans():
+    rng = random.Random(5)
+    plain = lambda x: re.sub(r"\s+", " ", x.translate(E.PLAIN))
+    letters = ["a", "f", "i", "l", "ﬁ", "ﬂ", " ", "  ", "\n", "–", "-", "’", "'", "“"]
+    for _ in range(1500):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 12)))
+        quote = "".join(rng.choices(letters, k=rng.randint(1, 4)))
+        got = E.locate(text, quote)
+        if quote in text:
+            assert got == (text.find(quote), text.find(quote) + len(quote))
+            continue
+        wanted = plain(quote.strip())
+        holds = [(i, j) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if wanted and wanted in plain(text[i:j])]
+        assert (got is None) == (not holds), (text, quote)
+        if got:  # the first match ends first, and its span can't be shortened
+            assert got[1] == min(j for _, j in holds)
+            assert wanted in plain(text[slice(*got)]) and wanted not in plain(text[got[0] + 1 : got[1]]) and wanted not in plain(text[got[0] : got[1] - 1])
+
+
 def test_findings():
     passage = {"W1#0": "Sleep improved by five points in the treated group over eight weeks."}
     good = {"claim": "Sleep improved by five points.", "caveats": "small sample", "chunk_id": "W1#0", "quote": "Sleep improved by five points in the treated group"}
@@ -120,7 +143,7 @@ def test_model_failures_stay_pending(spark):
 
 def test_finding_id_matches_hash(spark):
     df = spark.createDataFrame([("W1", "A  claim\nhere")], "w string, c string")
-    assert df.select(T.finding_id(F.col("w"), F.col("c"))).first()[0] == E.finding_id("W1", "a claim here")
+    assert df.select(T.finding_id(F.col("w"), F.col("c"))).first()[0] == "f_" + hashlib.sha256(b"W1\na claim here").hexdigest()[:16]
 
 
 @pytest.mark.parametrize(("w", "s"), [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("sleeping", "sleep"), ("generalization", "gener"), ("adoption", "adopt"), ("happy", "happi"), ("rate", "rate"), ("controlling", "control")])
