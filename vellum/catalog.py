@@ -75,7 +75,16 @@ def stratum_counts(spark, sf):
     return w.groupBy(R.stratum(F.col("discovered_via"), F.col("status"), F.col("year")).alias("stratum")).agg(F.count("*").alias("n"), F.min("work_id").alias("first"))
 
 
-@query("stratified_sample")
+STRATA = D.ctes(D.WORKS, f"kept AS (SELECT work_id, discovered_via || '/' || status || '/' || {BUCKET} AS stratum FROM works WHERE status LIKE 'kept%')")
+ALLOCATED = """, base AS (SELECT stratum, count(*) AS size, least(count(*), 5) AS base FROM kept GROUP BY 1),
+room AS (SELECT *, size - base AS room, sum(size - base) OVER () AS pool, least(greatest(200 - sum(base) OVER (), 0), sum(size - base) OVER ()) AS rest FROM base),
+share AS (SELECT *, CASE WHEN pool > 0 THEN rest * room // pool ELSE 0 END AS whole FROM room),
+alloc AS (SELECT stratum, base + whole + (row_number() OVER (ORDER BY rest * room - whole * pool DESC, room DESC, stratum) <= rest - sum(whole) OVER ())::INT AS take FROM share),
+picked AS (SELECT work_id, stratum FROM (SELECT k.*, take, row_number() OVER (PARTITION BY stratum ORDER BY md5('7:' || work_id), work_id) AS r FROM kept k JOIN alloc USING (stratum)) WHERE r <= take)
+"""
+
+
+@query("stratified_sample", STRATA + ALLOCATED + "SELECT *, CAST(row_number() OVER (ORDER BY md5('8:' || work_id), work_id) AS INT) AS pos FROM picked")
 def stratified_sample(spark, sf):
     w = V.works(spark, sf).filter(F.col("status").startswith("kept"))
     w = w.withColumn("stratum", R.stratum(F.col("discovered_via"), F.col("status"), F.col("year")))
