@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import sharding
+from vellum.llm import secret_scan, sharding
 
 # CRC-32 over a list of byte values, by a table of its polynomial (reflected) that SQL derives.
 _CRC_TABLE = """
@@ -46,4 +46,35 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, s.shard::INT AS shard, (s.slot +
 FROM ranked r JOIN (SELECT arc, lo, hi, shard, slot FROM home UNION ALL SELECT arc, lo, hi, shard, slot FROM walk WHERE i > 0) s ON r.arc = s.arc AND s.lo <= r.rnk AND r.rnk < s.hi
 """
 
-ORACLES = {"op9_bounded_ring": OP9}
+
+def _either(word: str) -> str:
+    """An ASCII word in either case; RE2's own flag would fold further letters."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _matches(kind: int, pattern: str, keep: str, group: int = 0) -> str:
+    """rid, kind, start, end of the matches m (group g) of a pattern in all texts."""
+    lit = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT rid, {kind} AS kind, (e - length(m))::BIGINT AS s, e::BIGINT AS e FROM (
+        SELECT rid, m, g, sum(length(p) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS e FROM (
+            SELECT rid, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(ps[1:len(ms)]) AS p FROM (
+                SELECT rid, regexp_extract_all(t, {lit}) AS ms, regexp_extract_all(t, {lit}, {group}) AS gs, regexp_split_to_array(t, {lit}) AS ps FROM docs) WHERE len(ms) > 0)) WHERE {keep}"""
+
+
+_WORDS = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key")
+_ASSIGN = rf"""({_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_RENDER = "coalesce(string_agg(['assign', 'access', 'hex', 'key', 'endpoint'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e), '')"
+
+OP6 = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_matches(0, _ASSIGN, "length(g) >= 6", 2)} UNION ALL {_matches(1, "AKIA[A-Z0-9]+", "length(m) >= 20")} UNION ALL {_matches(2, "[0-9a-f]+", "length(m) >= 24")}),
+weak AS ({_matches(3, secret_scan.RUN, "length(m) = 40 AND NOT contains(m, '=') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')")}
+    UNION ALL {_matches(4, secret_scan.ENDPOINT, "g = '' OR length(g) BETWEEN 2 AND 5", 1)}),
+linked AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND abs(b.s - w.s) <= {secret_scan.SCOPE} AND (b.kind = 1 OR w.kind = 4))),
+b AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {_RENDER} AS r FROM base GROUP BY rid),
+every AS (SELECT rid, {_RENDER} AS r FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.r, '')) AS base_sha256, coalesce(every.r, '') AS spans
+FROM docs LEFT JOIN b USING (rid) LEFT JOIN every USING (rid)
+"""
+
+ORACLES = {"op6_linked_secrets": OP6, "op9_bounded_ring": OP9}
