@@ -55,7 +55,7 @@ def test_secrets(spark):
 
 def brute_lines(spark, rows, divisor):
     """Removal by chunks, from the operator's boundaries but counted and compared in Python."""
-    df = line_dedup.chunked(frame(spark, rows), "doc_id", "text", divisor)
+    df = line_dedup.chunked(line_dedup.identified(frame(spark, rows), "doc_id", "text"), divisor)
     docs = {}
     for r in df.collect():
         docs[(r["__null"], r["__k"], r["__h"])] = (r["__lines"], [(c["a"], c["b"]) for c in r["__chunks"]])

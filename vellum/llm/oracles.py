@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import secret_scan, sharding
+from vellum.llm import line_dedup, secret_scan, sharding
 
 # CRC-32 over a list of byte values, by a table of its polynomial (reflected) that SQL derives.
 _CRC_TABLE = """
@@ -77,4 +77,19 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN b USING (rid) LEFT JOIN every USING (rid)
 """
 
-ORACLES = {"op6_linked_secrets": OP6, "op9_bounded_ring": OP9}
+
+OP7 = f"""
+WITH lines AS (SELECT rid, doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line, ('0x' || substr(md5(string_split(coalesce(text, ''), chr(10))[i]), 1, 7))::BIGINT AS h
+    FROM (SELECT row_number() OVER () AS rid, doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+rolls AS (SELECT *, count(*) OVER w AS n, CASE WHEN i > 1 THEN (lag(h) OVER o * {line_dedup.BASE} + h) % {line_dedup.MODULUS} END AS roll FROM lines WINDOW w AS (PARTITION BY rid), o AS (PARTITION BY rid ORDER BY i)),
+marked AS (SELECT *, i = n OR (roll IS NOT NULL AND i >= 2 AND i + 2 <= n AND coalesce(roll < lag(roll) OVER o, TRUE) AND coalesce(roll < lead(roll) OVER o, TRUE)) AS ends FROM rolls WINDOW o AS (PARTITION BY rid ORDER BY i)),
+runs AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM marked),
+pieces AS (SELECT *, least((row_number() OVER (PARTITION BY rid, run ORDER BY i) - 1) // 2, greatest(count(*) OVER (PARTITION BY rid, run) // 2 - 1, 0)) AS piece FROM runs),
+chunks AS (SELECT rid, doc_id, run, piece, min(i) AS a, count(*) AS m, string_agg(line, chr(10) ORDER BY i) AS body FROM pieces GROUP BY ALL),
+judged AS (SELECT rid, run, piece, m, m >= 2 AND row_number() OVER (PARTITION BY body, m >= 2 ORDER BY doc_id, a) > 1 AS gone FROM chunks)
+SELECT doc_id, n_lines, n_removed_lines, n_removed_chunks, sha256(kept) AS kept_sha256 FROM (
+    SELECT rid, any_value(p.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed_lines, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM pieces p JOIN judged j USING (rid, run, piece) GROUP BY rid)
+    JOIN (SELECT rid, count(*) FILTER (gone) AS n_removed_chunks FROM judged GROUP BY rid) USING (rid)
+"""
+
+ORACLES = {"op6_linked_secrets": OP6, "op7_line_chunks": OP7, "op9_bounded_ring": OP9}
