@@ -49,7 +49,7 @@ def running(lengths: Column) -> Column:
         by = F.least(F.pow(F.lit(2.0), k).cast("int"), n)
         return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), by), F.slice(acc, F.lit(1), n - by)), lambda x, y: x + y)
 
-    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int")), lengths, stride)
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int")), lengths, stride)
 
 
 def spans(text: Column, pattern: str, kind: int, hint: Column, keep: Callable[[Column, Column], Column], group: int = 0) -> Column:
@@ -59,7 +59,7 @@ def spans(text: Column, pattern: str, kind: int, hint: Column, keep: Callable[[C
     ends = running(F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda x, m: F.length(x) + F.length(m)))
     span = F.zip_with(F.zip_with(matches, groups, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), ends, lambda x, e: F.when(keep(x["m"], x["g"]), F.struct((e - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), e.alias("end"))))
     found = F.filter(span, lambda x: x.isNotNull()).cast(SPANS)
-    return F.when(hint & (F.size(matches) > 0), found).otherwise(F.array().cast(SPANS))
+    return F.when(hint, found).otherwise(F.array().cast(SPANS))
 
 
 def is_key(run: Column, _: Column) -> Column:
