@@ -22,8 +22,11 @@ verification reads the texts of the few classes in candidate pairs. Components a
 alternating large-star and small-star rounds, written to the shared folder after each round.
 
 Defined results. Null text counts as empty. Texts without words are equal to texts with the same
-bytes (all empty texts are one group); a text of one to four words is one shingle. Null keys are
-kept; a group's id is its least non-null key. Empty tables give empty results.
+bytes (all empty texts are one group); a text of one to four words is one shingle. Rows with null keys
+count; a group's id is its least non-null key (null if it has none), and one row of each group is
+kept: of the rows with that key the one with the least class, and of equal rows any one. Texts are
+read whole, however long; a text longer than a slice is a slice. Extra columns are ignored by groups
+and carried by keep_one, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -208,8 +211,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, per: int = ROWS) -> DataFrame:
-    """key, class, root, group_id (the least key of the group) and group_size for each row of docs."""
-    named = C.stash(classified(docs, key, text, bands, per, shingle))
+    """key, class, root, group_id (the least key of the group), group_size and kept for each row of docs."""
+    named = C.stash(classified(docs, key, text, bands, per, shingle).withColumn("__uid", F.monotonically_increasing_id()))
     classes = named.groupBy("class").agg(F.first("bands").alias("bands"))
     slots = classes.select("class", F.posexplode("bands").alias("at", "band"))
     often = slots.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
@@ -234,9 +237,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     last = components(C.stash(found, few=True)).select(F.col("node").alias("root"), F.col("root").alias("__last"))
     rooted = named.drop("bands").join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rooted = rooted.join(last, "root", "left").withColumn("root", F.coalesce("__last", "root")).drop("__last")
-    ids = rooted.groupBy("root").agg(F.min(key).alias("group_id"), F.count("*").alias("group_size"))
+    first = F.min(F.struct(F.col(key).isNull().alias("__null"), F.col(key).alias("__k"), "class", "__uid"))
+    ids = rooted.groupBy("root").agg(first.alias("__first"), F.count("*").alias("group_size"))
     ids = C.stash(ids)  # a join of two exchanges, which Spark may split where a group is large
-    return rooted.join(ids, "root").select(key, "class", "root", "group_id", "group_size")
+    kept = F.col("__uid") == F.col("__first.__uid")
+    return rooted.join(ids, "root").select(key, "class", "root", F.col("__first.__k").alias("group_id"), "group_size", kept.alias("kept"))
 
 
 def likely(members: DataFrame, texts: DataFrame, shingle: int, bands: int, per: int, similarity: float, block: int = 4000, fine: int = 768) -> DataFrame:
@@ -322,7 +327,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **args) -
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = groups(spark.read.parquet(C.tables(sf_dir, "documents")).select("doc_id", "text"))
-    return out.select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    return out.select("doc_id", "group_id", "group_size", "kept")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,4 +92,21 @@ SELECT doc_id, n_lines, n_removed_lines, n_removed_chunks, sha256(kept) AS kept_
     JOIN (SELECT rid, count(*) FILTER (gone) AS n_removed_chunks FROM judged GROUP BY rid) USING (rid)
 """
 
-ORACLES = {"op6_linked_secrets": OP6, "op7_line_chunks": OP7, "op9_bounded_ring": OP9}
+# All pairs of different word sequences that share a shingle, by exact multiset overlap.
+OP2 = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+named AS (SELECT rid, doc_id, w, CASE WHEN len(w) = 0 THEN 'raw ' || t ELSE 'words ' || array_to_string(w, ' ') END AS c FROM docs),
+classes AS (SELECT c, min(rid) AS id, any_value(w) AS w FROM named GROUP BY c),
+bags AS (SELECT id, s, count(*) AS n FROM (
+    SELECT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM classes WHERE len(w) > 0) GROUP BY ALL),
+sizes AS (SELECT id, sum(n) AS size FROM bags GROUP BY id),
+pairs AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS common FROM bags a JOIN bags b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
+edges AS (SELECT a, b FROM pairs p JOIN sizes x ON p.a = x.id JOIN sizes y ON p.b = y.id WHERE common >= 0.8 * (x.size + y.size - common) - 1e-9),
+reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+rows_ AS (SELECT n.doc_id, r.root, n.rid FROM named n JOIN classes k USING (c) JOIN roots r ON r.id = k.id)
+SELECT doc_id, min(doc_id) OVER g AS group_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY root ORDER BY doc_id) = 1 AS kept FROM rows_ WINDOW g AS (PARTITION BY root)
+"""
+
+ORACLES = {"op2_bagminhash_dedup": OP2, "op6_linked_secrets": OP6, "op7_line_chunks": OP7, "op9_bounded_ring": OP9}
