@@ -109,4 +109,17 @@ rows_ AS (SELECT n.doc_id, r.root, n.rid FROM named n JOIN classes k USING (c) J
 SELECT doc_id, min(doc_id) OVER g AS group_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY root ORDER BY doc_id) = 1 AS kept FROM rows_ WINDOW g AS (PARTITION BY root)
 """
 
-ORACLES = {"op2_bagminhash_dedup": OP2, "op6_linked_secrets": OP6, "op7_line_chunks": OP7, "op9_bounded_ring": OP9}
+OP3 = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT rid, b, unnest(range(1, octet_length(b) - 198)) AS i FROM docs WHERE octet_length(b) >= 200),
+wins AS (SELECT rid, i, md5(b[i : i + 199]) AS w FROM starts),
+hits AS (SELECT rid, i FROM wins JOIN (SELECT w FROM wins GROUP BY w HAVING count(*) > 1) USING (w)),
+runs AS (SELECT rid, i, sum((i > coalesce(prev, -1000) + 200)::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM hits)),
+spans AS (SELECT rid, min(i) AS a, max(i) + 200 AS z FROM runs GROUP BY rid, run),
+gaps AS (SELECT rid, z AS a, coalesce(lead(a) OVER (PARTITION BY rid ORDER BY a), 1000000000000) AS z FROM (SELECT rid, a, z FROM spans UNION ALL SELECT rid, 0, 1 FROM docs)),
+kept AS (SELECT rid, coalesce(string_agg(hex(b[g.a : least(g.z, octet_length(b) + 1) - 1]), '' ORDER BY g.a) FILTER (g.a < least(g.z, octet_length(b) + 1)), '') AS h FROM gaps g JOIN docs USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM docs JOIN kept USING (rid) LEFT JOIN (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid) USING (rid)
+"""
+
+ORACLES = {"op2_bagminhash_dedup": OP2, "op3_run_length_index": OP3, "op6_linked_secrets": OP6, "op7_line_chunks": OP7, "op9_bounded_ring": OP9}

@@ -3,9 +3,11 @@
 Method. A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the
 same document or another. Windows of that length are dealt out by content: of a window's k-grams the
 one with the least hash (the leftmost of equals) is its anchor, so equal windows have equal anchors.
-Consecutive windows with one anchor make a stretch. Only stretches whose anchor stands elsewhere too
-go on; equal stretches go on once, with their count. For each bucket of anchors a run-length index
-is built over its stretches: suffix order, Burrows-Wheeler transform, its runs, and the suffix
+Consecutive windows with one anchor make a stretch, told from others by its anchor, length and two
+64-bit hashes of its bytes. Only stretches whose anchor stands elsewhere too go on. Where all stretches
+of an anchor are equal, all their bytes go; that settles copies of whole documents without their
+texts. Of other anchors, equal stretches go on once, with their count. For each bucket of anchors a
+run-length index is built over its stretches: suffix order, Burrows-Wheeler transform, its runs, and the suffix
 samples at both ends of every run. Matching statistics are streamed from it: the match of a suffix
 with its neighbour in suffix order is compared byte by byte at run ends only, and is one shorter
 than its left neighbour's everywhere else. A window whose longest match elsewhere reaches `length`,
@@ -17,8 +19,9 @@ not put in a bucket: its windows are counted one by one by 128-bit hashes, which
 Copies of a document count as rows of numbers until the last step.
 
 Defined results. Null text is empty: nothing removed. Texts shorter than `length` are kept whole.
-Rows equal in key and text are two documents, each the other's copy. Null keys are kept. Empty
-tables give empty results.
+Rows equal in key and text are two documents, each the other's copy. Null keys are kept. Very long
+texts are cut into pieces that overlap by a window less one byte, so that each window lies in one
+piece. Extra columns are ignored, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,19 +38,20 @@ from pyspark.sql.types import StructType
 from vellum.llm import common as C
 
 LENGTH, GRAM = 200, 64
-POS_BITS = 26  # a slice holds fewer bytes than 2**26, or is cut into overlapping pieces
+PIECE = 4 << 20  # bytes of a long text whose windows are hashed at once
+POS_BITS = 26  # places in a slice or piece; the remaining bits order the grams
 
 
 def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Row, start in the row, byte length, anchor hash and content hash of every stretch of a slice."""
+    """Row, start in the row, byte length, anchor hash and two content hashes of every stretch of a slice."""
     n, w = len(buf), length - k + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return (none, none, none, *[none.view(np.uint64)] * 3)
     counts = np.maximum(np.diff(offsets) - length + 1, 0)  # windows of each row
     total = int(counts.sum())
     if not total:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return (none, none, none, *[none.view(np.uint64)] * 3)
     prefix = C.prefix_hash(buf)
     h = (prefix[k:] - prefix[:-k]) * C._power(C._B_INV, n - k + 1)
     h ^= h >> np.uint64(32)
@@ -73,14 +77,32 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tupl
     a = starts[first]
     b = starts[np.append(first[1:] - 1, total - 1)] + length
     at = anchor[first]
-    return row[first], a - offsets[row[first]], b - a, C.span_hash(prefix, at, at + k), C.span_hash(prefix, a, b)
+    return row[first], a - offsets[row[first]], b - a, C.span_hash(prefix, at, at + k), C.span_hash(prefix, a, b), _other_hash(buf, a, b)
 
 
-def long_slices(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for piece in C.slices(col):
-        if len(piece[2]) >= 1 << POS_BITS:
-            raise ValueError(f"a text of {len(piece[2])} bytes: raise POS_BITS to index it")
-        yield piece
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+_OTHER_INV = np.uint64(pow(int(_OTHER), -1, 1 << 64))
+
+
+def _other_hash(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each span's bytes by another base and other values of the bytes than C.span_hash."""
+    prefix = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_VALUES[buf] * C._power(_OTHER, len(buf)), out=prefix[1:])
+    return C.mix((prefix[b] - prefix[a]) * C._power(_OTHER_INV, len(buf) + 1)[a])
+
+
+_VALUES = C.mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def long_slices(col: pa.Array, length: int, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, byte at which the slice begins in it, bytes and offsets: slices, and pieces of longer texts."""
+    for lo, hi, buf, offsets in C.slices(col):
+        if hi - lo > 1 or len(buf) <= piece + length:
+            yield lo, 0, buf, offsets
+        else:
+            for at in range(0, len(buf) - length + 1, piece):
+                part = buf[at : at + piece + length - 1]
+                yield lo, at, part, np.array([0, len(part)], np.int64)
 
 
 class RunLengthIndex:
@@ -192,25 +214,26 @@ def _arrow_ranges(found: list[list[tuple[int, int]]]) -> pa.Array:
 
 def marked(docs: DataFrame, length: int, gram: int, bucket_bytes: int, hot_texts: int) -> DataFrame:
     """k, h and the ranges of removed bytes (overlapping ones among them) of the documents that lose any. docs: k, h, t."""
-    fields = f"{IDS}, start int, size int, anchor long, content long"
+    fields = f"{IDS}, start int, size int, anchor long, content long, other long"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, h = (batch.column(i).to_numpy() for i in (0, 1))
-            for lo, _, buf, offsets in long_slices(C.text_column(batch, "t")):
-                row, start, size, anchor, content = stretches(buf, offsets, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(k[row + lo]), pa.array(h[row + lo]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), C.long_of(anchor), C.long_of(content)], ["k", "h", "start", "size", "anchor", "content"])
+            for lo, skip, buf, offsets in long_slices(C.text_column(batch, "t"), length):
+                row, start, size, *hashes = stretches(buf, offsets, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(k[row + lo]), pa.array(h[row + lo]), pa.array((start + skip).astype(np.int32)), pa.array(size.astype(np.int32)), *map(C.long_of, hashes)], ["k", "h", "start", "size", "anchor", "content", "other"])
 
     rows = docs.mapInArrow(split, fields)
     # written, so that the join below is one of two exchanges, which Spark may split where an anchor is frequent
-    often = C.stash(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+    equal = (F.min("content") == F.max("content")) & (F.min("other") == F.max("other"))
+    often = C.stash(rows.groupBy("anchor").agg(F.count("*").alias("n"), equal.alias("sole")).filter("n > 1").select("anchor", "sole"))
     live = C.stash(rows.join(often, "anchor"))
-    one = ["anchor", "content", "size"]
-    texts = C.stash(live.groupBy(*one).agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "start")).alias("rep")))
+    one = ["anchor", "content", "other", "size"]
+    texts = C.stash(live.filter("not sole").groupBy(*one).agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "start")).alias("rep")))
     crowd = texts.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > hot_texts).select("anchor")
     total = texts.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    wanted = texts.select("rep.k", "rep.h", F.struct("rep.start", "size", "anchor", "content", "n").alias("w")).groupBy("k", "h").agg(F.collect_list("w").alias("w"))
+    wanted = texts.select("rep.k", "rep.h", F.struct("rep.start", "size", "anchor", "content", "other", "n").alias("w")).groupBy("k", "h").agg(F.collect_list("w").alias("w"))
     source = docs.join(wanted, ["k", "h"]).select("t", "w")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,46 +244,45 @@ def marked(docs: DataFrame, length: int, gram: int, bucket_bytes: int, hot_texts
                 for at in range(0, len(parts), 4096):
                     some = parts[at : at + 4096]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([p["anchor"] for p in some]), pa.array([p["content"] for p in some]), pa.array([p["size"] for p in some], pa.int32()), pa.array([p["n"] for p in some]), pa.array([raw[p["start"] : p["start"] + p["size"]] for p in some], pa.binary())],
-                        ["anchor", "content", "size", "n", "body"],
+                        [pa.array([p["anchor"] for p in some]), pa.array([p["content"] for p in some]), pa.array([p["other"] for p in some]), pa.array([p["size"] for p in some], pa.int32()), pa.array([p["n"] for p in some]), pa.array([raw[p["start"] : p["start"] + p["size"]] for p in some], pa.binary())],
+                        ["anchor", "content", "other", "size", "n", "body"],
                     )
 
-    bodies = source.mapInArrow(cut, "anchor long, content long, size int, n long, body binary")
+    bodies = source.mapInArrow(cut, "anchor long, content long, other long, size int, n long, body binary")
     # a document of which there are equal rows gives equal bodies
     bodies = C.stash(bodies.dropDuplicates(one))
-    found_schema = f"anchor long, content long, size int, found {RANGES}"
+    found_schema = f"anchor long, content long, other long, size int, found {RANGES}"
 
     def index(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         found = repeated_windows(table.column("body").combine_chunks(), table.column("n").to_numpy(), length)
-        return pa.table({"anchor": table.column("anchor"), "content": table.column("content"), "size": table.column("size"), "found": _arrow_ranges(found)})
+        return pa.table({"anchor": table.column("anchor"), "content": table.column("content"), "other": table.column("other"), "size": table.column("size"), "found": _arrow_ranges(found)})
 
     even = bodies.join(crowd, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64(F.lit(5), "anchor"), F.lit(buckets)))
     found = even.groupBy("bucket").applyInArrow(index, found_schema).filter(F.size("found") > 0)
     if crowd.limit(1).count():
         found = found.unionByName(_one_by_one(bodies.join(crowd, "anchor", "left_semi"), length))
-    ranges = live.join(found, one).select("k", "h", F.transform("found", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start") + length - 1).alias("b"))).alias("r"))
-    return ranges.groupBy("k", "h").agg(F.flatten(F.collect_list("r")).alias("r"))
+    whole = live.filter("sole").select("k", "h", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))).alias("r"))
+    ranges = live.filter("not sole").join(found, one).select("k", "h", F.transform("found", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start") + length - 1).alias("b"))).alias("r"))
+    return ranges.unionByName(whole).groupBy("k", "h").agg(F.flatten(F.collect_list("r")).alias("r"))
 
 
 def _one_by_one(bodies: DataFrame, length: int) -> DataFrame:
     """Windows of crowded anchors, counted by 128-bit hashes."""
+    one = ["anchor", "content", "other", "size", "n"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor, content, size, n = (batch.column(i).to_numpy() for i in range(4))
-            for i, raw in enumerate(batch.column(4).to_pylist()):
+            for i, raw in enumerate(batch.column(len(one)).to_pylist()):
                 buf = np.frombuffer(raw, np.uint8)
                 at = np.arange(len(buf) - length + 1)
-                one = C.span_hash(C.prefix_hash(buf), at, at + length)
-                two = C.span_hash(C.prefix_hash(buf ^ np.uint8(0x5A)), at, at + length)
-                m = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, anchor[i])), pa.array(np.full(m, content[i])), pa.array(np.full(m, size[i], np.int32)), pa.array(np.full(m, n[i])), pa.array(at.astype(np.int32)), C.long_of(one), C.long_of(two)], ["anchor", "content", "size", "n", "at", "one", "two"])
+                hashes = [C.span_hash(C.prefix_hash(buf), at, at + length), _other_hash(buf, at, at + length)]
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(c)[i], len(at)) for c in range(len(one))], pa.array(at.astype(np.int32)), *map(C.long_of, hashes)], [*one, "at", "one", "two"])
 
-    windows = bodies.select("anchor", "content", "size", "n", "body").mapInArrow(each, "anchor long, content long, size int, n long, at int, one long, two long")
+    windows = bodies.select(*one, "body").mapInArrow(each, "anchor long, content long, other long, size int, n long, at int, one long, two long")
     twice = windows.groupBy("one", "two").agg(F.sum("n").alias("m")).filter("m > 1").select("one", "two")
     hit = windows.join(twice, ["one", "two"])
-    return hit.groupBy("anchor", "content", "size").agg(F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("a"), (x + 1).alias("b"))).alias("found"))
+    return hit.groupBy(*one[:4]).agg(F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("a"), (x + 1).alias("b"))).alias("found"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = 512 << 10, hot_texts: int = 12_000) -> DataFrame:
