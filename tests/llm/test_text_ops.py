@@ -164,13 +164,31 @@ def repeat_rows():
     return rows
 
 
-@pytest.mark.parametrize(("bucket", "hot"), [(1 << 19, 12000), (3000, 12000), (1 << 19, 5)])
+@pytest.mark.parametrize(("bucket", "hot"), [(1 << 19, 12000), (3000, 12000), (1 << 19, 5), (2000, 1)])
 def test_suffix_dedup(spark, bucket, hot):
     rows = repeat_rows()
     got = suffix_dedup.dedup(frame(spark, rows), bucket_bytes=bucket, hot_texts=hot).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_repeats(rows, 200)
 
 
+def test_suffix_dedup_long_texts_and_names(spark):
+    rng = random.Random(8)
+    part, tail = prose(400, rng), prose(100, rng)
+    texts = [f"{part} {prose(900, rng)} {tail}", f"{tail} {prose(300, rng)} {part}", part[:250]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = brute_repeats(rows, 200)
+    for piece in (1000, 331, 1 << 20):  # windows lie in one piece each, wherever pieces end
+        found = []
+        for k, t in rows:
+            for _, skip, buf, offsets in suffix_dedup.long_slices(pa.array([t]), 200, piece):
+                _, start, size, *_ = suffix_dedup.stretches(buf, offsets, 200, 64)
+                found += [(k, a + skip + i) for a, n in zip(start.tolist(), size.tolist(), strict=True) for i in range(n - 199)]
+        assert sorted(found) == [(k, i) for k, t in rows for i in range(len(t.encode()) - 199)]
+    odd = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, N_bytes int, kept int")
+    got = suffix_dedup.dedup(odd).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.dedup(frame(spark, [])).count() == 0
 

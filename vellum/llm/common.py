@@ -110,6 +110,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     col = batch.column(batch.schema.get_field_index(name))
+    if pa.types.is_binary(col.type):  # bytes that needn't be whole characters
+        return col.fill_null(b"").view(pa.string())
     return (col if pa.types.is_string(col.type) else col.cast(pa.string())).fill_null("")
 
 

@@ -15,8 +15,9 @@ or whose stretch occurs twice, marks its bytes.
 
 Scale. Anchors are counted with partial aggregation, and looked up by a join that Spark may split.
 A bucket holds a bounded number of bytes. An anchor with more than hot_texts different stretches is
-not put in a bucket: its windows are counted one by one by 128-bit hashes, which spreads them.
-Copies of a document count as rows of numbers until the last step.
+not put in a bucket: its stretches are dealt out again by another order of the grams, which sorts out
+all windows whose new anchor is in one place only, and spreads the rest over new buckets. What is
+crowded in each of `deals` orders is counted window by window by 128-bit hashes. Copies of a document count as rows of numbers until the last step.
 
 Defined results. Null text is empty: nothing removed. Texts shorter than `length` are kept whole.
 Rows equal in key and text are two documents, each the other's copy. Null keys are kept. Very long
@@ -42,7 +43,7 @@ PIECE = 4 << 20  # bytes of a long text whose windows are hashed at once
 POS_BITS = 26  # places in a slice or piece; the remaining bits order the grams
 
 
-def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, k: int, salt: int = 0) -> tuple[np.ndarray, ...]:
     """Row, start in the row, byte length, anchor hash and two content hashes of every stretch of a slice."""
     n, w = len(buf), length - k + 1
     none = np.zeros(0, np.int64)
@@ -54,6 +55,7 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tupl
         return (none, none, none, *[none.view(np.uint64)] * 3)
     prefix = C.prefix_hash(buf)
     h = (prefix[k:] - prefix[:-k]) * C._power(C._B_INV, n - k + 1)
+    h += np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     mask = np.uint64((1 << POS_BITS) - 1)
@@ -212,15 +214,18 @@ def _arrow_ranges(found: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in x] for x in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
 
 
-def marked(docs: DataFrame, length: int, gram: int, bucket_bytes: int, hot_texts: int) -> DataFrame:
-    """k, h and the ranges of removed bytes (overlapping ones among them) of the documents that lose any. docs: k, h, t."""
+def marked(docs: DataFrame, length: int, gram: int, bucket_bytes: int, hot_texts: int, deal: int = 0, deals: int = 3) -> DataFrame:
+    """k, h and the ranges of removed bytes (overlapping ones among them) of the documents that lose any. docs: k, h, t.
+
+    deal: which of the orders of grams decides the anchors.
+    """
     fields = f"{IDS}, start int, size int, anchor long, content long, other long"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, h = (batch.column(i).to_numpy() for i in (0, 1))
             for lo, skip, buf, offsets in long_slices(C.text_column(batch, "t"), length):
-                row, start, size, *hashes = stretches(buf, offsets, length, gram)
+                row, start, size, *hashes = stretches(buf, offsets, length, gram, deal)
                 yield pa.RecordBatch.from_arrays([pa.array(k[row + lo]), pa.array(h[row + lo]), pa.array((start + skip).astype(np.int32)), pa.array(size.astype(np.int32)), *map(C.long_of, hashes)], ["k", "h", "start", "size", "anchor", "content", "other"])
 
     rows = docs.mapInArrow(split, fields)
@@ -240,7 +245,7 @@ def marked(docs: DataFrame, length: int, gram: int, bucket_bytes: int, hot_texts
         for batch in batches:
             t = C.text_column(batch, "t")
             for i in range(batch.num_rows):
-                parts, raw = batch.column(1)[i].as_py(), t[i].as_py().encode()
+                parts, raw = batch.column(1)[i].as_py(), t[i].as_buffer().to_pybytes()
                 for at in range(0, len(parts), 4096):
                     some = parts[at : at + 4096]
                     yield pa.RecordBatch.from_arrays(
@@ -261,7 +266,16 @@ def marked(docs: DataFrame, length: int, gram: int, bucket_bytes: int, hot_texts
     even = bodies.join(crowd, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64(F.lit(5), "anchor"), F.lit(buckets)))
     found = even.groupBy("bucket").applyInArrow(index, found_schema).filter(F.size("found") > 0)
     if crowd.limit(1).count():
-        found = found.unionByName(_one_by_one(bodies.join(crowd, "anchor", "left_semi"), length))
+        crowded = bodies.join(crowd, "anchor", "left_semi")
+        if deal + 1 < deals:
+            named = C.stash(crowded.select(*one, "n", F.xxhash64("anchor", "content").alias("k"), F.xxhash64("other", "size").alias("h"), "body"))
+            again = marked(named.select("k", "h", F.col("body").alias("t")), length, gram, bucket_bytes, hot_texts, deal + 1, deals)
+            starts = F.transform("r", lambda x: F.struct(x["a"].alias("a"), (x["b"] - (length - 1)).alias("b")))
+            every = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") - (length - 1)).alias("b")))
+            others = named.join(again, ["k", "h"], "left").select(*one, F.when(F.col("n") > 1, every).otherwise(starts).alias("found")).filter(F.size("found") > 0)
+        else:
+            others = _one_by_one(crowded, length)
+        found = found.unionByName(others)
     whole = live.filter("sole").select("k", "h", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))).alias("r"))
     ranges = live.filter("not sole").join(found, one).select("k", "h", F.transform("found", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start") + length - 1).alias("b"))).alias("r"))
     return ranges.unionByName(whole).groupBy("k", "h").agg(F.flatten(F.collect_list("r")).alias("r"))
