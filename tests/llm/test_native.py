@@ -183,7 +183,7 @@ def test_mix(spark):
     text = lambda n: " ".join(["w"] * n)
     rows = [(i, text(1 + i % 7), f"s{i % 5}") for i in range(900)] + [(2000, text(3), None), (2001, None, "s1"), (None, "", "empty"), (3, text(4), "s3")]
     rows += [(3000 + i, text(5), "rare") for i in range(4)]
-    got = mixing.mix(frame(spark, rows).drop("size")).collect()
+    got = mixing.mix(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     size, order = Counter(), sorted({s for *_, s in rows if s is not None}) + [None]
     for _, t, s in rows:
@@ -205,9 +205,9 @@ def test_mix(spark):
     for s in order:
         assert abs(seen[s] - goal[s]) < 1e-6 * max(1, goal[s])
         assert abs(taken[s] - goal[s]) <= 7
-    twice = mixing.mix(frame(spark, rows[::-1]).drop("size")).collect()
+    twice = mixing.mix(frame(spark, rows[::-1])).collect()
     assert Counter((r["doc_id"], r["taken"], r["size"]) for r in got) == Counter((r["doc_id"], r["taken"], r["size"]) for r in twice)
-    assert mixing.mix(frame(spark, []).drop("size")).count() == 0
+    assert mixing.mix(frame(spark, [])).count() == 0
 
 
 def test_repeat_keeps_columns(spark):
@@ -221,5 +221,42 @@ def test_repeat_keeps_columns(spark):
     assert abs(words["s0"] - 195 * 5 / 8) <= 3
 
 
+def test_inclusion_frequencies(spark):
+    """Over many seeds a document is taken as often as its inclusion says, and short ones less often than long ones."""
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(i, text(2 ** (i % 6)), f"s{i % 3}") for i in range(7200)]
+    df = frame(spark, rows).persist()
+    runs = 3
+    hits, odds, size = Counter(), {}, {}
+    for seed in range(runs):
+        for r in mixing.mix(df, seed=seed).filter("source = 's1'").collect():
+            whole = int(r["target"] // r["source_size"])
+            hits[r["size"]] += r["copies"] - whole
+            odds.setdefault(r["size"], r["inclusion"])
+            size[r["doc_id"]] = r["size"]
+    many = Counter(size.values())
+    assert len(odds) >= 2 and len(set(odds.values())) >= 2
+    assert sorted(odds.values()) == [odds[k] for k in sorted(odds)]
+    for k, p in odds.items():
+        n = many[k] * runs
+        assert abs(hits[k] / n - p) < 4 * (max(p * (1 - p), 0.01) / n) ** 0.5 + 0.03, (k, hits[k] / n, p)
+    df.unpersist()
+
+
+def test_mix_of_one_hot_row_and_a_weight(spark):
+    rows = [(None, "a b c d", "hot")] * 3000 + [(i, f"a b {i}", None) for i in range(500)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == 3500 and all(r["copies"] <= 3 for r in got)
+    for s in ("hot", None):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 4
+    assert mixing.repeat(frame(spark, rows)).count() == sum(r["copies"] for r in got)
+    odd = frame(spark, [(i, f"a b c {i}", f"s{i % 2}") for i in range(400)]).withColumn("quality", F.when(F.col("doc_id") % 4 < 2, 9.0).otherwise(1.0))
+    by = Counter()
+    for r in mixing.mix(odd, weight="quality").filter("source = 's1'").collect():
+        by[r["doc_id"] % 4] += r["copies"]
+    assert by[1] > by[3]
+
+
 def test_ids_hash_like_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -122,4 +122,23 @@ SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_r
 FROM docs JOIN kept USING (rid) LEFT JOIN (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid) USING (rid)
 """
 
-ORACLES = {"op2_bagminhash_dedup": OP2, "op3_run_length_index": OP3, "op6_linked_secrets": OP6, "op7_line_chunks": OP7, "op9_bounded_ring": OP9}
+OP4 = r"""
+WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, (('0x' || substr(md5('11:' || doc_id || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+sources AS (SELECT *, 3.0::DOUBLE * source_size AS cap, (5 - 3 * (pos % 3 >= 1)::INT - (pos % 3 = 2)::INT)::DOUBLE AS w FROM (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS pos FROM docs GROUP BY source)),
+filled AS (SELECT *, sum(source_size) OVER ()::DOUBLE AS total, coalesce(sum(cap) OVER (ORDER BY cap / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(w) OVER (ORDER BY cap / w, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, row_number() OVER (ORDER BY cap / w, pos) AS k FROM sources),
+level AS (SELECT (total - used) / free AS level FROM filled WHERE cap > w * ((total - used) / free) ORDER BY k LIMIT 1),
+goals AS (SELECT source, source_size, least(cap, w * (SELECT level FROM level)) AS target FROM filled),
+parts AS (SELECT *, greatest(target - whole * source_size, 0) AS need FROM (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12)::BIGINT AS whole FROM goals)),
+weighed AS (SELECT d.*, source_size, target, whole, need, length(bin(size)) AS w FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
+cells AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY w DESC) - words AS above, sum(words * w) OVER (PARTITION BY source ORDER BY w) AS mass FROM (SELECT source, w, any_value(need) AS need, sum(size) AS words FROM weighed GROUP BY ALL)),
+factors AS (SELECT *, CASE WHEN mass > 0 THEN (need - above::DOUBLE) / mass::DOUBLE END AS factor FROM cells),
+tops AS (SELECT source, max(w) FILTER (factor * w <= 1) AS top, arg_max(factor, w) FILTER (factor * w <= 1) AS best FROM factors GROUP BY source),
+lambdas AS (SELECT f.source, f.w, CASE WHEN need <= 0 OR words = 0 THEN 0 WHEN top IS NULL OR f.w > top THEN 1 ELSE least(greatest(best, 0) * f.w, 1) END AS lam FROM factors f JOIN tops t ON f.source IS NOT DISTINCT FROM t.source),
+ranked AS (SELECT x.*, lam, CASE WHEN lam <= 0 THEN 1 ELSE u * (1 - lam) / (u * (1 - lam) + (1 - u) * lam) END AS rnk FROM weighed x JOIN lambdas l ON x.source IS NOT DISTINCT FROM l.source AND x.w = l.w),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id) - size AS behind FROM ranked)
+SELECT doc_id, size, source_size, target, least(whole + extra, 3) AS copies, least(whole + extra, 3) * size AS taken
+FROM (SELECT *, CASE WHEN size = 0 OR lam <= 0 THEN 0 ELSE greatest(least(floor((need - behind) / size + 0.5), 1), 0)::BIGINT END AS extra FROM placed)
+"""
+
+ORACLES = {"op2_bagminhash_dedup": OP2, "op3_run_length_index": OP3, "op4_pareto_mix": OP4, "op6_linked_secrets": OP6, "op7_line_chunks": OP7, "op9_bounded_ring": OP9}
