@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import common, decontamination, license_scan, near_dedup, perplexity, quality_rules, suffix_dedup
 
@@ -359,6 +360,44 @@ def test_forest_rejects_junk(spark):
     assert quality_rules.judge(frame(spark, rows), labels.limit(0)).filter("kept").count() >= 150
 
 
+def test_forest_against_brute_force():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    forest = quality_rules.Forest(x, 12, 64, 5, np.array([1.0, 2.0, 0.5]))
+
+    def depth(t, point):
+        node, n = 0, 0
+        while forest.feature[t, node] >= 0:
+            node = 2 * node + (2 if point[forest.feature[t, node]] >= forest.cut[t, node] else 1)
+            n += 1
+        return n, forest.length[t, node]
+
+    for point, score in zip(x[:50], forest.score(x[:50]), strict=True):
+        paths = [depth(t, point) for t in range(12)]
+        assert all(a <= b for a, b in paths) and np.isclose(score, 2 ** (-np.mean([b for _, b in paths]) / quality_rules._path_norm(64)))
+    assert forest.score(np.array([[50.0, 50.0, 50.0]]))[0] > forest.score(x).max() - 0.05
+
+
+def test_separation_is_the_area_under_the_curve():
+    rng = np.random.default_rng(4)
+    x, bad = np.round(rng.normal(size=(80, 2)), 1), np.arange(80) < 20
+    x[bad, 0] += 1
+    for f in range(2):
+        wins = np.mean([(a > b) + 0.5 * (a == b) for a in x[bad, f] for b in x[~bad, f]])
+        assert np.isclose(quality_rules.separation(x, bad, 1.0, 0.0)[f], abs(2 * wins - 1))
+
+
+def test_verdicts_on_labelled_documents(spark):
+    """Bad documents go, good ones that pass the base rules stay; the forest sees nearly as many points as texts."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    points = quality_rules.measure(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    assert points.select("features").distinct().count() > 850
+    got = quality_rules.query(spark, sf).join(labels, "doc_id").filter("not base_failed")
+    rate = {r["quality"]: r["kept"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert rate[0] <= 0.02 and rate[1] >= 0.985
+
+
 # --- perplexity -----------------------------------------------------------------------------
 
 
