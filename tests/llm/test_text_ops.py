@@ -307,7 +307,7 @@ def test_license_families(spark):
     cases = [
         ("Our album was released under the new label.", ""),
         ("Released under the Apache License, Version 2.0.", "apache-2"),
-        ("This work is licensed under the GNU General Public License, version 2", ""),
+        ("This work is licensed under the GNU General Public License, version 2", "gpl-2"),
         ("This work is licensed under the GNU General Public License, version 3", "gpl-3"),
         ("You can redistribute it under the terms of the GNU General Public License" + fsf + "; either version 2 of the License, or (at your option) any later version.", "gpl-2"),
         ("under the terms of the GNU Lesser General Public License" + fsf + ", either version 3 of the License, or any later version", "lgpl"),
@@ -315,7 +315,7 @@ def test_license_families(spark):
         ("This is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
         ("This is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
         ("This is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
-        ("This is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ""),
+        ("This is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
         ("Released under the MIT License", "mit"),
     ]
     cases += [(cases[1][0] + " " + cases[8][0], "apache-2,cc-by-nc")]
@@ -326,6 +326,24 @@ def test_license_families(spark):
     assert got[0]["score"] == 0.0 and got[7]["score"] == 1.0
 
 
+def test_license_templates_and_edits(spark):
+    """Every notice gets its own label alone; so does a long one with a word lost, changed or added."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for label, text in license_scan.TEMPLATES:
+        w = text.split()
+        edits = [w]
+        if len(w) >= 18:
+            at = len(w) // 2 if not {"version", "v."} & set(w) else 2
+            edits += [w[:at] + w[at + 1 :], w[:at] + ["otherword"] + w[at + 1 :], w[:at] + ["additional"] + w[at:]]
+        for x in edits:
+            rows.append((len(rows), f"{prose(12, rng)}. {' '.join(x)}. {prose(12, rng)}"))
+            base = {v for k, v in license_scan.PHRASES.items() if f" {k} " in f" {' '.join(words(rows[-1][1]))} "}
+            want[len(rows) - 1] = ",".join(sorted({label} | base))  # fixed phrases always count
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert got == want
+
+
 # --- quality --------------------------------------------------------------------------------
 
 

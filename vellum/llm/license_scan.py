@@ -39,25 +39,54 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 
 # Wording of public license notices, by label.
 TEMPLATES = [
-    ("mit", "released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("agpl-3", "licensed under the GNU Affero General Public License, version 3"),
+    ("agpl-3", "SPDX-License-Identifier: AGPL-3.0"),
     ("apache-2", "licensed under the Apache License, Version 2.0"),
     ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl-3", "this work is licensed under the GNU General Public License, version 3"),
-    ("gpl-3", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
-    ("gpl-2", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("apache-2", "SPDX-License-Identifier: Apache-2.0"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by", "licensed under CC BY 4.0"),
     ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
+    ("cc-by-nc-nd", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-nd", "licensed under CC BY-NC-ND 4.0"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-sa", "licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nd", "licensed under CC BY-ND 4.0"),
     ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
     ("cc0", "dedicated to the public domain under the Creative Commons CC0 1.0 Universal public domain dedication"),
+    ("epl-2", "made available under the terms of the Eclipse Public License 2.0"),
+    ("gpl-2", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version"),
+    ("gpl-2", "licensed under the GNU General Public License, version 2"),
+    ("gpl-2", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl-3", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+    ("gpl-3", "licensed under the GNU General Public License, version 3"),
+    ("gpl-3", "SPDX-License-Identifier: GPL-3.0"),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "licensed under the GNU Lesser General Public License"),
+    ("lgpl", "under the terms of the GNU Library General Public License as published by the Free Software Foundation"),
+    ("mit", "released under the MIT License"),
+    ("mit", "licensed under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-2", "SPDX-License-Identifier: MPL-2.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
 ]
 
 # Words and word pairs that tell licenses apart.
-MARKS = ["mit", "apache", "lesser", "library", "affero", "mozilla", "attribution", "noncommercial", "sharealike", "noderivatives", "noderivs", "cc0", "version 1", "version 2", "version 3", "v 1", "v 2", "v 3"]
+MARKS = ["mit", "apache", "agpl", "gpl", "mpl", "bsd", "lesser", "library", "affero", "mozilla", "eclipse", "organization", "attribution", "noncommercial", "sharealike", "noderivatives", "noderivs", "by nc", "by nd", "by sa", "nc nd", "nc sa", "cc0", "version 1", "version 2", "version 3", "v 1", "v 2", "v 3", "gpl 2", "gpl 3"]
 
 
 def hashed(texts: list[str], k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:

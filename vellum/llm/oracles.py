@@ -141,4 +141,33 @@ SELECT doc_id, size, source_size, target, least(whole + extra, 3) AS copies, lea
 FROM (SELECT *, CASE WHEN size = 0 OR lam <= 0 THEN 0 ELSE greatest(least(floor((need - behind) / size + 0.5), 1), 0)::BIGINT END AS extra FROM placed)
 """
 
-ORACLES = {"op2_bagminhash_dedup": OP2, "op3_run_length_index": OP3, "op4_pareto_mix": OP4, "op6_linked_secrets": OP6, "op7_line_chunks": OP7, "op9_bounded_ring": OP9}
+# The contract's own columns of op8 and op10, without what the methods add.
+LICENSE_PHRASES = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES ('under the mit license', 'mit'), ('apache license version 2', 'apache-2'), ('cc by nc', 'cc-by-nc')) v(p, label)),
+found AS (SELECT rid, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) AS place FROM docs, phrases),
+sums AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM found GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM docs LEFT JOIN sums USING (rid)
+"""
+
+RULE_COUNTS = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, x) AS n FROM wins) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM twice, range(3) r(j) GROUP BY rid),
+lines AS (SELECT rid, line, count(*) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+dups AS (SELECT rid, sum(n - 1)::BIGINT AS n FROM lines GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    len(w) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(w) AS base_failed FROM docs LEFT JOIN covered USING (rid) LEFT JOIN dups USING (rid)
+"""
+
+ORACLES = {
+    "op2_bagminhash_dedup": OP2,
+    "op3_run_length_index": OP3,
+    "op4_pareto_mix": OP4,
+    "op6_linked_secrets": OP6,
+    "op7_line_chunks": OP7,
+    "op9_bounded_ring": OP9,
+    "license_phrases": LICENSE_PHRASES,
+    "rule_counts": RULE_COUNTS,
+}

@@ -281,6 +281,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(docs, labels).select("doc_id", *COUNTS, "base_failed", "kept", "anomaly", "threshold")
 
 
+def counts_query(spark, sf_dir: str) -> DataFrame:
+    """The counts and the base rules of query, without its forest."""
+    docs = spark.read.parquet(C.tables(sf_dir, "documents")).select("doc_id", "text")
+    return measure(docs, keep=["doc_id"]).select("doc_id", *COUNTS, base_failed().alias("base_failed"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the rules accept."""
     return keep(docs, spark.read.parquet(C.tables(sf_dir, "labels")))

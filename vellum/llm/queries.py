@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vellum.llm.oracles import ORACLES  # noqa: F401  the catalogue of this subpackage
 from vellum.llm import decontamination, license_scan, line_dedup, mixing, near_dedup, perplexity, quality_rules, secret_scan, sharding, suffix_dedup
+from vellum.llm.oracles import ORACLES  # noqa: F401  the catalogue of this subpackage
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_diagonals": license_scan.query,
     "op9_bounded_ring": sharding.query,
     "op10_isolation_rules": quality_rules.query,
+    # columns of op8 and op10 that SQL can express
+    "license_phrases": lambda spark, sf_dir: license_scan.query(spark, sf_dir).drop("labels", "score"),
+    "rule_counts": quality_rules.counts_query,
 }
-
-
