@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import line_dedup, secret_scan, sharding
+from vellum.llm import license_scan, line_dedup, secret_scan, sharding
 
 # CRC-32 over a list of byte values, by a table of its polynomial (reflected) that SQL derives.
 _CRC_TABLE = """
@@ -161,12 +161,44 @@ SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     len(w) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(w) AS base_failed FROM docs LEFT JOIN covered USING (rid) LEFT JOIN dups USING (rid)
 """
 
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_LOW = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TEMPLATES = ", ".join(f"({i}, {_text(label)}, {_text(text)})" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+_MARKS = ", ".join(f"({_text(m)})" for m in license_scan.MARKS)
+# Three-word grams by diagonal, runs of diagonals at most two apart, each compared with its template word by word.
+OP8 = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_LOW.format(t="coalesce(text, '')")} AS w FROM documents),
+templates AS (SELECT tpl, label, {_LOW.format(t="t")} AS tw FROM (VALUES {_TEMPLATES}) v(tpl, label, t)),
+tgrams AS (SELECT tpl, o, tw[o + 1] || ' ' || tw[o + 2] || ' ' || tw[o + 3] AS g FROM (SELECT tpl, tw, unnest(range(0, len(tw) - 2)) AS o FROM templates)),
+grams AS (SELECT rid, p, w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] AS g FROM (SELECT rid, w, unnest(range(0, len(w) - 2)) AS p FROM docs)),
+hits AS (SELECT rid, tpl, p, o, p - o AS d FROM grams JOIN tgrams USING (g)),
+runs AS (SELECT *, sum((d - prev > 2)::INT) OVER (PARTITION BY rid, tpl ORDER BY d, p ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, coalesce(lag(d) OVER (PARTITION BY rid, tpl ORDER BY d, p), d) AS prev FROM hits)),
+spans AS (SELECT rid, tpl, run, min(p) AS lo, max(p) + 3 AS hi, max(o) - min(o) + 3 AS reach FROM runs GROUP BY ALL),
+marks AS (SELECT m FROM (VALUES {_MARKS}) v(m)),
+marked AS (SELECT tpl, coalesce(list(m ORDER BY m), []) AS ms FROM templates JOIN marks ON contains(' ' || array_to_string(tw, ' ') || ' ', ' ' || m || ' ') GROUP BY tpl),
+fits AS (SELECT s.*, w, tw, label FROM spans s JOIN docs USING (rid) JOIN templates USING (tpl) LEFT JOIN marked USING (tpl)
+    WHERE hi - lo <= 1.5 * reach AND coalesce(ms, []) = coalesce((SELECT list(m ORDER BY m) FROM marks WHERE contains(' ' || array_to_string(w[lo + 1 : hi], ' ') || ' ', ' ' || m || ' ')), [])),
+same AS (SELECT f.rid, f.tpl, f.run, count(DISTINCT x - d) AS equal FROM (SELECT f.*, d, unnest(range(greatest(lo, d), least(hi, d + len(tw)))) AS x FROM fits f JOIN (SELECT DISTINCT rid, tpl, run, d FROM runs) USING (rid, tpl, run)) f WHERE w[x + 1] = tw[x - d + 1] GROUP BY ALL),
+good AS (SELECT rid, lo, hi, equal, len(tw) AS size, label FROM fits JOIN same USING (rid, tpl, run) WHERE equal >= greatest(0.6 * len(tw), least(6, len(tw)))),
+best AS (SELECT * FROM good y WHERE NOT EXISTS (SELECT 1 FROM good z WHERE z.rid = y.rid AND z.equal > y.equal AND z.lo < y.hi AND y.lo < z.hi)),
+base AS ({LICENSE_PHRASES.replace("SELECT doc_id, len(w)", "SELECT rid, doc_id, len(w)")}),
+every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM best UNION ALL SELECT rid, unnest(string_split(base_labels, ',')) FROM base WHERE base_labels <> '') GROUP BY rid)
+SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0)::DOUBLE END AS score
+FROM base LEFT JOIN every USING (rid) LEFT JOIN (SELECT rid, max(equal::DOUBLE / size) AS score FROM best GROUP BY rid) USING (rid)
+"""
+
 ORACLES = {
     "op2_bagminhash_dedup": OP2,
     "op3_run_length_index": OP3,
     "op4_pareto_mix": OP4,
     "op6_linked_secrets": OP6,
     "op7_line_chunks": OP7,
+    "op8_license_diagonals": OP8,
     "op9_bounded_ring": OP9,
     "license_phrases": LICENSE_PHRASES,
     "rule_counts": RULE_COUNTS,
