@@ -231,6 +231,9 @@ def test_decontamination(spark):
     assert Counter((r["doc_id"], r["item_id"]) for r in blocks) == want
     kept = decontamination.clean(frame(spark, rows), bench)
     assert kept.count() == len(rows) - sum(want.values()) and kept.columns == frame(spark, rows).columns
+    by_blocks = decontamination.clean(frame(spark, rows), bench, block_words=40)
+    assert Counter(by_blocks.collect()) == Counter(kept.collect()) and by_blocks.columns == kept.columns
+    assert decontamination.clean(frame(spark, rows), bench.limit(0)).count() == len(rows)
     assert decontamination.scan(frame(spark, rows), bench.limit(0)).count() == 0 and decontamination.scan(frame(spark, []), bench).count() == 0
 
 

@@ -14,12 +14,16 @@ Limit. A copy without n words in a row of the item has no seed: very short items
 each n words, or a word put in after every n - 1. Such copies are not found.
 
 Bounds. The test items are the stated query set. They are taken in blocks of at most block_words
-words, each of which is scanned against all documents; only a block's seeds travel to executors.
-Texts are never shuffled: alignment runs where a text is read.
+words, each of which is counted and scanned against all documents, so results don't depend on the
+blocks. Only a block's seeds travel to executors, and where there are several blocks each one's
+matches are written before the next is read, so the driver holds one. Texts are not shuffled for one
+block: alignment runs where a text is read, and clean drops the row there. For several blocks clean
+collects hashes of the matching texts and joins them away once.
 
 Defined results. Null or empty text and items of fewer than n words match nothing. A null doc_id
 or item_id is reported as null. Of several matches of one item in a text the best is reported, of
-equals the first. Empty tables give empty results. Repeated rows are each reported.
+equals the first. Texts are scanned whole, however long. Extra columns are ignored by scan and kept by
+clean, whatever their names. Empty tables give empty results. Repeated rows are each reported.
 """
 
 from __future__ import annotations
@@ -192,7 +196,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     schema = StructType([docs.schema[key], benchmark.schema[item]]).add("score", "double").add("first_word", "long").add("end_word", "long")
     out = docs.sparkSession.createDataFrame([], schema)
     kind = pa.int64() if benchmark.schema[item].dataType.simpleString() == "bigint" else None
-    for ids, texts in blocks(benchmark, item, item_text, block_words):
+    for (ids, texts), alone in _marked(blocks(benchmark, item, item_text, block_words)):
         seeds = prepared(docs, texts, text, n, min_score)
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds, ids: list = ids) -> Iterator[pa.RecordBatch]:
@@ -203,25 +207,54 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                         r, i, score, a, b = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + x for x in r])), pa.array([ids[x] for x in i], kind), pa.array(score), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema.names)
 
-        out = out.unionByName(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema))
+        found = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, schema)
+        out = out.unionByName(found if alone else C.stash(found, few=True))
     return out
 
 
+def _marked(found: Iterator) -> Iterator[tuple]:
+    """Each of found, and whether it is the only one."""
+    first, second = next(found, None), next(found, None)
+    if first is not None:
+        yield first, second is None
+    if second is not None:
+        yield second, False
+        yield from ((x, False) for x in found)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that match no item, all columns as they were."""
-    for _, texts in blocks(benchmark, item, item_text, block_words):
+    hits: list[DataFrame] = []
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    hashes = {"a": F.xxhash64(body), "b": F.xxhash64(F.lit(29), F.reverse(body))}
+    for (_, texts), alone in _marked(blocks(benchmark, item, item_text, block_words)):
         seeds = prepared(docs, texts, text, n, min_score)
-        boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
-
-        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, buf, offsets in C.slices(C.text_column(batch, "t")):
-                    bad = {m[0] for m in matches(seeds, *word_hashes(buf, offsets), min_score)}
-                    keep = [lo + r for r in range(hi - lo) if r not in bad]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64()))], ["row"])
+        if alone:
+            boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
+            return boxed.mapInArrow(_chosen(seeds, min_score, False), boxed.select("row").schema).select("row.*")
+        named = docs.select(F.struct(*[c.alias(k) for k, c in hashes.items()]).alias("row"), F.col(f"`{text}`").alias("t"))
+        hits.append(C.stash(named.mapInArrow(_chosen(seeds, min_score, True), named.select("row").schema).select("row.*").distinct(), few=True))
+    if not hits:
+        return docs
+    gone = hits[0]
+    for h in hits[1:]:
+        gone = gone.unionByName(h)
+    names = dict(zip(hashes, C.fresh(docs.columns, "__a", "__b"), strict=True))
+    gone = gone.distinct().select(*[F.col(k).alias(x) for k, x in names.items()])
+    return docs.withColumns({x: hashes[k] for k, x in names.items()}).join(gone, list(names.values()), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _chosen(seeds: Seeds, min_score: float, bad: bool):
+    """Rows (row, t) that match an item, or those that match none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offsets in C.slices(C.text_column(batch, "t")):
+                found = {m[0] for m in matches(seeds, *word_hashes(buf, offsets), min_score)}
+                keep = [lo + r for r in range(hi - lo) if (r in found) == bad]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64()))], ["row"])
 
-        docs = boxed.mapInArrow(run, boxed.select("row").schema).select("row.*")
-    return docs
+    return run
 
 
 def query(spark, sf_dir: str) -> DataFrame:
