@@ -469,3 +469,12 @@ def test_perplexity_matches_definition(spark):
     assert got[101]["kept"] and got[101]["n_bytes"] == 0 and got[102]["bits"] == 0 and not got[100]["kept"]
     assert perplexity.classify(frame(spark, []), labels).count() == 0
     assert perplexity.classify(df, labels.limit(0)).filter("kept").count() == len(rows)
+
+
+def test_perplexity_on_labelled_documents(spark):
+    """Good documents stay, trusted or not; most bad ones go."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = perplexity.query(spark, sf).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    rate = {r["quality"]: r["kept"] for r in got}
+    assert rate[1] >= 0.98 and rate[0] <= 0.2
