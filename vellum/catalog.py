@@ -295,7 +295,12 @@ def fill_pmcids(spark, sf):
     return joins.fill_pmcids(_candidates(spark, sf), V.works(spark, sf)).select("seq", "work_id", "pmcid")
 
 
-@query("dedupe_candidates")
+FIRST_WINS = D.ctes(D.WORKS, "c AS (SELECT doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN 'X' || doc_id ELSE work_id END AS work_id, CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id // 9 END AS doi, CASE WHEN doc_id % 4 = 0 THEN 'p' || doc_id // 8 END AS pmcid FROM works)",
+    "o AS (SELECT *, row_number() OVER (ORDER BY seq) AS k, list_filter(['w' || work_id, 'd' || doi, 'p' || pmcid], lambda x: x IS NOT NULL) AS ids FROM c)",
+    "walk AS (SELECT 0::BIGINT AS k, CAST([] AS VARCHAR[]) AS taken, NULL::BIGINT AS seq UNION ALL SELECT o.k, CASE WHEN list_has_any(taken, ids) THEN taken ELSE list_concat(taken, list_filter(ids, lambda x: x[1] <> 'w')) END, CASE WHEN NOT list_has_any(taken, ids) THEN o.seq END FROM walk w JOIN o ON o.k = w.k + 1)").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("dedupe_candidates", FIRST_WINS + "SELECT c.* FROM c JOIN walk USING (seq)")
 def dedupe_candidates(spark, sf):
     c = _candidates(spark, sf)
     i = F.col("seq")
@@ -516,20 +521,32 @@ def finding_ids(spark, sf):
     return V.lines(spark, sf).select("chunk_id", T.finding_id(F.col("work_id"), F.col("text")).alias("finding_id"))
 
 
-@query("locate_quote_exact", "SELECT doc_id, instr(text, substr(text, 11, 20)) - 1 AS at FROM documents WHERE length(text) >= 31")
+@query("locate_quote_exact", "SELECT doc_id, place AS char_start, (place + length(q))::INT AS char_end FROM (SELECT doc_id, q, CASE WHEN q = '' THEN 0 ELSE instr(text, q) - 1 END::INT AS place FROM (SELECT doc_id, text, substr(text, 11, 20) AS q FROM documents))")
 def locate_quote_exact(spark, sf):
-    d = V.table(spark, sf, "documents").filter("length(text) >= 31")
-    return d.select("doc_id", F.expr("cast(locate(substring(text, 11, 20), text) - 1 as bigint)").alias("at"))
+    return extract.located(V.table(spark, sf, "documents").withColumn("q", F.substring("text", 11, 20)), "doc_id", "text", "q")
+
 
+LOCATED = r"""WITH d AS (SELECT doc_id, text, replace(substr(text, 11, 50), ' ', chr(10)) AS q FROM documents),
+p AS (SELECT *, array_to_string(list_transform(list_filter(regexp_split_to_array(q, '\s+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '\s+') AS pattern FROM d),
+m AS (SELECT *, CASE WHEN instr(text, q) > 0 THEN q WHEN pattern <> '' THEN regexp_extract(text, pattern) END AS found FROM p)
+SELECT doc_id, CASE WHEN q = '' THEN 0 WHEN found <> '' THEN instr(text, found) - 1 END::INT AS char_start, CASE WHEN q = '' THEN 0 WHEN found <> '' THEN instr(text, found) - 1 + length(found) END::INT AS char_end FROM m"""
 
-@query("locate_quote_folded", "SELECT doc_id, 10 AS char_start FROM documents WHERE length(text) >= 70 AND instr(text, substr(text, 11, 50)) = 11 AND regexp_matches(substr(text, 11, 1), '\\S') AND NOT regexp_matches(substr(text, 1, 70), '\\s\\s')")
+
+@query("locate_quote_folded", LOCATED)
 def locate_quote_folded(spark, sf):
-    d = V.table(spark, sf, "documents").filter(r"length(text) >= 70 and locate(substring(text, 11, 50), text) = 11 and substring(text, 11, 1) rlike '\\S' and not substring(text, 1, 70) rlike '\\s\\s'")
-    d = d.withColumn("q", F.regexp_replace(F.substring("text", 11, 50), " ", "\n")).filter("q is not null")
-    return extract.located(d, "doc_id", "text", "q").select("doc_id", "char_start")
+    """Quotes whose spaces became line breaks, so that spans of other spacing are found."""
+    return extract.located(V.table(spark, sf, "documents").withColumn("q", F.replace(F.substring("text", 11, 50), F.lit(" "), F.lit("\n"))), "doc_id", "text", "q")
+
+
+# The order of the tests: over the limit, caveats, quote, repeated claim. Nothing is kept after the eighth.
+VALIDATED = D.ctes(D.LINES, """c AS (SELECT work_id, idx, text, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS claim, trim(substr(text, 1, 35), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS quote FROM lines WHERE length(text) BETWEEN 40 AND 280)""",
+    r"""j AS (SELECT work_id, idx, lower(regexp_replace(claim, '[\s\x0b]+', ' ', 'g')) AS same, CASE WHEN length(claim) NOT BETWEEN 20 AND 300 THEN 'claim_length' WHEN idx % 4 = 0 THEN 'empty_caveats' WHEN length(quote) NOT BETWEEN 30 AND 1500 THEN 'quote_length' END AS fault FROM c)""",
+    "f AS (SELECT *, fault IS NULL AND row_number() OVER (PARTITION BY work_id, same, fault IS NULL ORDER BY idx) = 1 AS fresh FROM j)",
+    "n AS (SELECT *, coalesce(sum(fresh::INT) OVER (PARTITION BY work_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)",
+    "r AS (SELECT *, CASE WHEN before >= 8 THEN 'over_limit' WHEN fault IS NOT NULL THEN fault WHEN NOT fresh THEN 'duplicate_claim' END AS reason FROM n)")
 
 
-@query("validate_findings")
+@query("validate_findings", VALIDATED + "SELECT work_id, count(*) FILTER (reason IS NULL)::INT AS kept, coalesce(string_agg(reason, ',' ORDER BY idx), '') AS reasons FROM r GROUP BY 1")
 def validate_findings(spark, sf):
     c = V.lines(spark, sf).filter("length(text) between 40 and 280")
     item = F.to_json(F.struct(F.col("text").alias("claim"), F.when(F.col("idx") % 4 == 0, "none").otherwise("small sample").alias("caveats"), "chunk_id", F.substring("text", 1, 35).alias("quote")))
@@ -628,7 +645,7 @@ def dense_topk(spark, sf):
 
 @query("knn_by_distance", D.ctes("qv AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)") + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT qid, vec_id, round(-list_sum(list_transform(list_zip(embedding, q), lambda x: pow(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE), 2))), 6) AS score FROM embeddings, qv)) WHERE rank <= 10")
 def knn_by_distance(spark, sf):
-    return vector.topk_sql(*_vectors(spark, sf), 10, by="distance")
+    return vector.topk(*_vectors(spark, sf), 10, by="distance")
 
 
 @query("recall_at_k", D.ctes(D.DENSE) + "SELECT round(avg(len(list_intersect(g, t)) / CAST(len(t) AS DOUBLE)), 6) AS recall, count(*) AS queries FROM (SELECT qid, list(vec_id) AS t, list(vec_id) FILTER (vec_id % 2 = 0) AS g FROM knn GROUP BY 1)")
@@ -722,8 +739,10 @@ def eval_p_at_k(spark, sf):
 
 @query("logreg_gate")
 def logreg_gate(spark, sf):
+    """Verdicts on the held-out fifth of the vectors, from a fit on the others."""
     v = V.table(spark, sf, "embeddings").withColumn("truth", (F.col("label") < 5).cast("int"))
-    return distill.apply(distill.fit(v), v).select("vec_id", "truth", "prob", "pred")
+    marked = sampling.split(v, "truth", "vec_id")
+    return distill.apply(distill.fit(marked.filter("not is_test")), marked.filter("is_test")).select("vec_id", "truth", "prob", "pred")
 
 
 # --- streams --------------------------------------------------------------------------------

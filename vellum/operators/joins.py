@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum import scratch
 from vellum.functions import records as R
 
 IDENTIFIERS = ("work_id", "doi", "pmcid")
@@ -92,23 +93,31 @@ def work_budget(chunks: DataFrame, most_words: int = 14_000) -> DataFrame:
 def candidates_deduped(cands: DataFrame, order: str) -> DataFrame:
     """First-wins removal of records that share any identifier with an earlier kept one.
 
-    A dropped record's other identifiers don't block later ones, so this isn't connected components:
-    a record goes if and only if a kept earlier neighbour exists. Rounds settle it: a record without
-    undecided earlier neighbours and without kept ones is kept; neighbours after a kept one go.
+    A dropped record's other identifiers don't block later ones, so this isn't connected components.
+    Each round looks at the undecided records: one that comes first at all of its identifiers is kept,
+    and those that share an identifier with it go. No pairs of records are made, however many share an
+    identifier; the undecided are written after each round, so plans stay short.
     """
-    ids = identifiers(cands, order)
-    pairs = ids.alias("a").join(ids.alias("b"), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.tag") < F.col("b.tag")))
-    edges = pairs.select(F.col("a.tag").alias("early"), F.col("b.tag").alias("late")).distinct().persist()
-    state = cands.select(F.col(order).alias("tag"), F.lit(None).cast("boolean").alias("kept"))
+    spark = cands.sparkSession
+    open_, path = scratch.written(identifiers(cands, order))
+    without = cands.select(F.col(order).alias("tag")).join(open_.select("tag"), "tag", "left_anti")  # no identifier, nothing to share
+    kept, paths = [scratch.written(without)[0]], [path]
     while True:
-        early = edges.join(state.select(F.col("tag").alias("early"), F.col("kept").alias("ek")), "early")
-        seen_by = early.groupBy(F.col("late").alias("tag")).agg(F.coalesce(F.bool_or("ek"), F.lit(False)).alias("beaten"), F.bool_or(F.col("ek").isNull()).alias("waits"))
-        nxt = state.join(seen_by, "tag", "left").select("tag", F.coalesce("kept", F.when(F.col("beaten"), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True)).alias("kept"))
-        nxt = nxt.persist()
-        if not nxt.filter("kept is null").limit(1).count():
+        led = open_.join(open_.groupBy("kind", "value").agg(F.min("tag").alias("first")), ["kind", "value"])
+        first = led.groupBy("tag").agg(F.bool_and(F.col("tag") == F.col("first")).alias("leads")).filter("leads").select("tag")
+        winners, path = scratch.written(first)
+        if winners.isEmpty():
             break
-        state = nxt
-    return cands.join(nxt.filter("kept").select(F.col("tag").alias(order)), order, "left_semi")
+        kept.append(winners)
+        beaten = led.join(winners.withColumnRenamed("tag", "first"), "first", "left_semi").select("tag").distinct()
+        open_, path = scratch.written(open_.join(beaten, "tag", "left_anti"))
+        scratch.delete(spark, paths.pop())
+        paths.append(path)
+    scratch.delete(spark, paths.pop())
+    tags = kept[0]
+    for k in kept[1:]:
+        tags = tags.unionByName(k)
+    return cands.join(tags.withColumnRenamed("tag", order), order, "left_semi")
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, fields: list[str], dead: DataFrame | None = None) -> DataFrame:
