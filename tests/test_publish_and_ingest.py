@@ -37,7 +37,7 @@ def test_publish_verify_tombstone(spark, tmp_path):
     assert live.filter("work_id = 'W1'").first()["venue"] is None and dead.count() == 0 and live.first()["authors"] == ["A B"]
     w1, f1, _ = corpus(spark)
     second = publish.publish(out, w1, f1, ledger, "2024-01-03T00:00")
-    assert second["tombstones"] == {"works": 1, "findings": 1} and len(publish.history(out)) == 2
+    assert second["tombstones"] == {"works": 1, "findings": 1} and len(publish.history(spark, out)) == 2
     assert [r["work_id"] for r in publish.read(spark, out, "works")[1].collect()] == ["W2"]
     old, new = (publish.read(spark, out, "works", n)[0].select("work_id", "year") for n in (first["files"]["works"][6:22], second["files"]["works"][6:22]))
     assert {r["work_id"]: r["state"] for r in joins.diff(old, new, "work_id", ["year"], publish.read(spark, out, "works")[1]).collect()} == {"W1": "carried", "W2": "tombstoned"}

@@ -1,7 +1,8 @@
 """Content-addressed snapshots: build, validate, publish, verify, audit, history.
 
-Rows are produced by Spark in key order and streamed through the driver into compressed JSON lines,
-so the driver holds one partition at a time. A snapshot is two payloads named by their digest and a
+Rows are produced by Spark in key order and streamed through the driver into compressed JSON lines in
+any Hadoop file system; the driver holds the rows of one partition at a time, and hashes what it wrote
+by reading it back in parts. A snapshot is two payloads named by their digest and a
 manifest; the same content is published once.
 """
 
@@ -9,9 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import records as R
 from vellum.operators import joins
+from vellum.scratch import Folder
 
 SCHEMA_VERSION, LEVEL, MANIFEST = 2, 19, "manifest.json"
 WORK_FIELDS = ["work_id", "doi", "title", "venue", "year", "authors", "quality", "quality_source", "study_type", "evidence_grade"]
@@ -80,49 +81,70 @@ def _lines(df: DataFrame) -> Iterator[bytes]:
         yield json.dumps(json.loads(r["j"]), ensure_ascii=False, separators=(",", ":")).encode() + b"\n"
 
 
-def digest(payloads: list[bytes]) -> str:
-    h = hashlib.sha256()
-    for p in payloads:
-        h.update(len(p).to_bytes(8, "big"))
-        h.update(p)
-    return h.hexdigest()[:16]
+def compressed(lines: Iterable[bytes], sizes: list[int]) -> Iterator[bytes]:
+    """The lines as one compressed stream, in parts; appends their bytes and their number to sizes."""
+    press, n, rows = zstandard.ZstdCompressor(level=LEVEL).compressobj(), 0, 0
+    for line in lines:
+        n, rows = n + len(line), rows + 1
+        if part := press.compress(line):
+            yield part
+    yield press.flush()
+    sizes += [n, rows]
+
+
+def expanded(parts: Iterable[bytes]) -> Iterator[bytes]:
+    press = zstandard.ZstdDecompressor().decompressobj()
+    for part in parts:
+        yield press.decompress(part)
 
 
-def _swap(path: Path, data: bytes) -> None:
-    tmp = path.with_name(path.name + ".tmp")
-    tmp.write_bytes(data)
-    os.replace(tmp, path)
+def digest(payloads: list[tuple[int, Iterable[bytes]]]) -> str:
+    """Of the payloads' lengths and bytes; these come in parts of any size."""
+    h = hashlib.sha256()
+    for n, parts in payloads:
+        h.update(n.to_bytes(8, "big"))
+        for p in parts:
+            h.update(p)
+    return h.hexdigest()[:16]
 
 
 def publish(out: str, works: DataFrame, findings: DataFrame, ledger: DataFrame, now: str, encoder: dict | None = None) -> dict:
     """Write a snapshot unless the manifest already names this content. Returns the manifest, `changed` and the new ledger rows."""
-    folder = Path(out)
-    folder.mkdir(parents=True, exist_ok=True)
+    folder = Folder(works.sparkSession, out)
     shipped = {k: ledger.filter(F.col("kind") == k).select(F.col("row_id").alias(key)) for k, key in (("work", "work_id"), ("finding", "finding_id"))}
     bad = violations(works, findings).take(5)
     dead_w, dead_f = joins.tombstones(shipped["work"], works, "work_id"), joins.tombstones(shipped["finding"], findings, "finding_id")
     bad += dead_and_live(works, dead_w, "work_id").union(dead_and_live(findings, dead_f, "finding_id")).take(5)
     if bad:
         raise SnapshotError("; ".join(f"{r['rule']}: {r['key']}" for r in bad))
-    lines = {"works": [*_lines(works.orderBy("work_id")), *_lines(dead_w)], "findings": [*_lines(findings.orderBy("finding_id")), *_lines(dead_f)]}
-    payload = {k: b"".join(v) for k, v in lines.items()}
-    name = digest([payload["works"], payload["findings"]])
-    files = {k: f"{k}-{name}.jsonl.zst" for k in payload}
-    old = json.loads((folder / MANIFEST).read_text()) if (folder / MANIFEST).exists() else None
+    rows = {"works": (works.orderBy("work_id"), dead_w), "findings": (findings.orderBy("finding_id"), dead_f)}
+    sizes: dict[str, list[int]] = {k: [] for k in rows}
+    for k, (live, dead) in rows.items():
+        folder.write(f"{k}.tmp", compressed(chain(_lines(live), _lines(dead)), sizes[k]))
+    name = digest([(sizes[k][0], expanded(folder.read(f"{k}.tmp"))) for k in rows])
+    files = {k: f"{k}-{name}.jsonl.zst" for k in rows}
+    old = json.loads(b"".join(folder.read(MANIFEST))) if folder.exists(MANIFEST) else None
     if old and old["files"] == files and old["schema_version"] == SCHEMA_VERSION:
+        for k in rows:
+            folder.delete(f"{k}.tmp")
         return old | {"changed": False}
+    for k, file in files.items():
+        folder.rename(f"{k}.tmp", file)
     dead = {"works": dead_w.count(), "findings": dead_f.count()}
-    for k, data in payload.items():
-        _swap(folder / files[k], zstandard.ZstdCompressor(level=LEVEL).compress(data))
-    manifest = {"schema_version": SCHEMA_VERSION, "bundle_id": f"{now[:16]}-{name}", "replaces": None, "created_at": now, "encoder": encoder or {}, "counts": {k: len(v) - dead[k] for k, v in lines.items()}, "tombstones": dead, "files": files}
-    _swap(folder / MANIFEST, json.dumps(manifest, indent=1).encode())
+    manifest = {"schema_version": SCHEMA_VERSION, "bundle_id": f"{now[:16]}-{name}", "replaces": None, "created_at": now, "encoder": encoder or {}, "counts": {k: sizes[k][1] - dead[k] for k in rows}, "tombstones": dead, "files": files}
+    folder.write(f"{MANIFEST}.tmp", [json.dumps(manifest, indent=1).encode()])
+    folder.rename(f"{MANIFEST}.tmp", MANIFEST)
     new = ship(ledger, works, "work", "work_id", now).unionByName(ship(ledger, findings, "finding", "finding_id", now))
     return manifest | {"changed": True, "ledger": new}
 
 
+def manifest_of(spark: SparkSession, out: str) -> dict:
+    return json.loads(b"".join(Folder(spark, out).read(MANIFEST)))
+
+
 def read(spark: SparkSession, out: str, kind: str, name: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Live rows and tombstones of a payload; of the current snapshot unless a digest is given."""
-    file = f"{kind}-{name}.jsonl.zst" if name else json.loads((Path(out) / MANIFEST).read_text())["files"][kind]
+    file = f"{kind}-{name}.jsonl.zst" if name else manifest_of(spark, out)["files"][kind]
     df = spark.read.json(f"{out}/{file}")
     if "deleted" not in df.columns:
         df = df.withColumn("deleted", F.lit(None).cast("boolean"))
@@ -130,18 +152,22 @@ def read(spark: SparkSession, out: str, kind: str, name: str | None = None) -> t
     return df.filter(~gone).drop("deleted"), df.filter(gone)
 
 
-def history(out: str) -> list[str]:
+def history(spark: SparkSession, out: str) -> list[str]:
     """Digests of complete pairs, oldest first."""
-    have = {k: {p.name[len(k) + 1 : -len(".jsonl.zst")]: p.stat().st_mtime for p in Path(out).glob(f"{k}-*.jsonl.zst")} for k in ("works", "findings")}
+    found = Folder(spark, out).names()
+    have = {k: {x[len(k) + 1 : -len(".jsonl.zst")]: t for x, t in found.items() if x.startswith(f"{k}-") and x.endswith(".jsonl.zst")} for k in ("works", "findings")}
     both = have["works"].keys() & have["findings"].keys()
     return sorted(both, key=lambda n: (max(have["works"][n], have["findings"][n]), n))
 
 
 def verify(spark: SparkSession, out: str) -> dict:
     """The manifest, after its files were hashed, counted and validated again."""
-    m = json.loads((Path(out) / MANIFEST).read_text())
-    raw = {k: zstandard.ZstdDecompressor().decompress((Path(out) / f).read_bytes(), max_output_size=1 << 33) for k, f in m["files"].items()}
-    name = digest([raw["works"], raw["findings"]])
+    m, folder = manifest_of(spark, out), Folder(spark, out)
+    payloads = [m["files"][k] for k in ("works", "findings")]
+    try:
+        name = digest([(sum(map(len, expanded(folder.read(f)))), expanded(folder.read(f))) for f in payloads])
+    except zstandard.ZstdError as e:
+        raise SnapshotError(f"a payload can't be read: {e}") from e
     if any(name not in f for f in m["files"].values()):
         raise SnapshotError("a payload was changed: its digest isn't its name's")
     for k, key in (("works", "work_id"), ("findings", "finding_id")):
