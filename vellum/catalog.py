@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from vellum.functions import records as R
 from vellum.functions import text as T
-from vellum.operators import clean, distill, extract, joins, lexical, metrics, pending, publish, rank, sampling, store, vector
+from vellum.operators import clean, distill, extract, joins, lexical, metrics, pending, publish, rank, sampling, service, store, vector
 from vellum.plans import duck as D
 from vellum.plans import views as V
+from vellum.sources import records
 from vellum.streaming import events, lifecycle
 
 QUERIES: dict[str, Callable] = {}
@@ -766,3 +767,76 @@ def citation_expansion(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("pos"))
     edges = d.select(F.concat(F.lit("W"), "doc_id").alias("src"), "pos", F.concat(F.lit("W"), F.col("doc_id") + 1 + F.col("pos")).alias("dst"))
     return lifecycle.expansion(w, edges)
+
+
+# --- services, reports, cards ---------------------------------------------------------------
+
+
+@query("abstracts_by_source", WA + "SELECT source, count(*) AS n, count(abstract) AS filled FROM abstracts GROUP BY 1")
+def abstracts_by_source(spark, sf):
+    return V.abstracts(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.count("abstract").alias("filled"))
+
+
+@query("status_message", D.ctes(D.WORKS) + "SELECT count(*) FILTER (status = 'kept_text') AS with_text, count(*) AS total FROM works")
+def status_message(spark, sf):
+    return service.status_counts(V.works(spark, sf))
+
+
+@query("usage_totals", "SELECT sum(event_id % 1000) AS input_tokens, sum(event_id % 70) AS output_tokens, sum(event_id % 31) AS cache_read_tokens, 0 AS cost_usd, sum(event_id % 9) AS seconds FROM events")
+def usage_totals(spark, sf):
+    i = F.col("event_id")
+    e = V.table(spark, sf, "events").select((i % 1000).alias("input_tokens"), (i % 70).alias("output_tokens"), (i % 31).alias("cache_read_tokens"), F.lit(None).cast("int").alias("cost_usd"), (i % 9).alias("seconds"))
+    return service.usage_total(e).select("input_tokens", "output_tokens", "cache_read_tokens", F.col("cost_usd").cast("int").alias("cost_usd"), "seconds")
+
+
+@query("journal_titles", "SELECT lower('10.1/A' || doc_id) AS doi, 'PMC' || doc_id AS pmcid, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE 'Sleep ' || doc_id END AS venue FROM documents")
+def journal_titles(spark, sf):
+    i = F.col("doc_id")
+    title = F.when(i % 4 == 1, "  ").when(i % 4 != 0, F.concat(F.lit(" Sleep "), i))
+    record = F.to_json(F.struct(F.concat(F.lit("10.1/A"), i).alias("doi"), F.concat(F.lit("pmc"), i).alias("pmcid"), F.struct(F.struct(title.alias("title")).alias("journal")).alias("journalInfo")))
+    return records.journals(V.table(spark, sf, "documents").select(record.alias("json")))
+
+
+@query("claim_cards", BUNDLE + f"SELECT f.finding_id, f.work_id, f.claim, f.caveats, w.quality, w.title FROM findings f JOIN graded w ON w.work_id = f.work_id WHERE {LIVE}")
+def claim_cards(spark, sf):
+    w = V.graded(V.works(spark, sf)).withColumn("venue", F.lit(None).cast("string"))
+    f = V.findings(spark, sf)
+    return publish.cards(publish.live_works(w, f), f)
+
+
+@query("quota_waits", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 0.0 WHEN doc_id % 100 > 85 THEN greatest(doc_id % 400 - 100, 0) + 60.0 ELSE 0.0 END::DOUBLE AS wait,
+CASE WHEN doc_id % 5 = 0 THEN 1800.0 WHEN doc_id % 400 >= 100 THEN doc_id % 400 - 100 + 60.0 ELSE doc_id % 400 - 100 + 18000 + 60.0 END::DOUBLE AS reset FROM documents""")
+def quota_waits(spark, sf):
+    """Status files of which a fifth is malformed and a seventh stale."""
+    i = F.col("doc_id")
+    window = F.struct((i % 100).alias("used_percentage"), (i % 400).alias("resets_at"))
+    text = F.when(i % 5 == 0, "{broken").otherwise(F.to_json(F.struct(F.struct(window.alias("five_hour")).alias("rate_limits"))))
+    d = V.table(spark, sf, "documents").select("doc_id", text.alias("s"))
+    return d.select("doc_id", service.quota_wait(F.col("s"), F.when(i % 7 == 0, 5000).otherwise(10), F.lit(100.0)).alias("wait"), service.next_reset(F.col("s"), F.lit(100.0)).alias("reset"))
+
+
+@query("triage_replies", "SELECT doc_id // 3 AS batch_id, CAST(doc_id % 3 AS INT) AS place, doc_id % 2 = 0 AS relevant, CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence FROM documents WHERE doc_id // 3 IN (SELECT doc_id // 3 FROM documents GROUP BY 1 HAVING count(*) = 3 AND bool_and(doc_id % 11 <> 6))")
+def triage_replies(spark, sf):
+    """Wrapped and fenced replies to three papers each; those with an unknown study type count for none."""
+    i = F.col("doc_id")
+    e = F.struct(i.alias("i"), F.struct((i % 2 == 0).alias("relevant"), F.when(i % 11 == 6, "letter").otherwise("rct").alias("study_type"), ((i % 10).cast("double") / 10).alias("confidence")).alias("v"))
+    b = V.table(spark, sf, "documents").groupBy(F.floor(i / 3).alias("batch_id")).agg(F.transform(F.array_sort(F.collect_list(e)), lambda x: x["v"]).alias("x"))
+    wrapped = F.to_json(F.struct(F.lit(False).alias("is_error"), F.concat(F.lit("```json\n"), F.to_json("x"), F.lit("\n```")).alias("result")))
+    return service.triage_verdicts(b.select("batch_id", F.lit(3).alias("n"), service.reply_text(wrapped).alias("reply")), list(R.GRADES)).select("batch_id", "place", "relevant", "confidence")
+
+
+@query("enrich_venues", D.ctes(D.WORKS) + "SELECT work_id, CASE WHEN venue_source IS NULL AND doc_id % 3 = 0 THEN 'Journal ' || (doc_id % 10) END AS venue, CASE WHEN venue_source IS NOT NULL THEN venue_source WHEN doc_id % 3 = 0 THEN 'epmc' ELSE 'missing' END AS venue_source FROM works")
+def enrich_venues(spark, sf):
+    w = V.works(spark, sf).select("doc_id", "work_id", F.lit(None).cast("string").alias("venue"), "venue_source")
+    answers = service.looked_up(w.filter("venue_source is null").select("doc_id", "work_id"), lambda rows: {r["work_id"]: f"Journal {r['doc_id'] % 10}" for r in rows if r["doc_id"] % 3 == 0}, "venue")
+    return service.enrich(w, answers, "venue", "epmc").select("work_id", "venue", "venue_source")
+
+
+@query("topic_by_id", D.ctes(D.TOPICS) + "SELECT * FROM topics WHERE id = 7")
+def topic_by_id(spark, sf):
+    return lifecycle.topic(V.topics(spark, sf), 7)
+
+
+@query("latency_statistics", "SELECT event_type, v[len(v) // 2 + 1] AS p50, v[floor(0.95 * len(v))::INT + 1] AS p95 FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY 1)")
+def latency_statistics(spark, sf):
+    return metrics.order_statistics(V.table(spark, sf, "events"), "event_type", "value")

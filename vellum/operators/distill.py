@@ -39,6 +39,19 @@ def task(rows: DataFrame, key: str, seed: int = 7, vector: str = "embedding") ->
     return {"summary": summary, "per_class": metrics.per_class(test), "thresholds": metrics.thresholds(test), "predictions": test}
 
 
+def pilot(rows: DataFrame, key: str, seed: int = 7, vector: str = "embedding") -> list[dict]:
+    """task, n, accuracy, majority, auc of three tasks: relevance of 5 or more, of 7 or more, and each domain against the rest."""
+    tasks = {f"relevance>={r}": F.col("relevance") >= r for r in (5, 7)}
+    tasks |= {f"domain={d[0]}": F.col("domain") == d[0] for d in rows.select("domain").distinct().orderBy("domain").collect() if d[0] is not None}  # a closed vocabulary
+    out = []
+    for name, truth in tasks.items():
+        marked = rows.filter(truth.isNotNull()).withColumn("truth", truth.cast("int"))
+        if marked.select("truth").distinct().count() > 1:
+            s = task(marked, key, seed, vector)["summary"].first().asDict()
+            out.append({"task": name} | {k: float(s[k]) for k in ("n", "accuracy", "majority", "auc") if s.get(k) is not None})
+    return out
+
+
 def learning_curve(rows: DataFrame, key: str, sizes: list[int], repeats: int = 3, seed: int = 7, vector: str = "embedding") -> list[dict[str, float]]:
     """Mean and spread of accuracy, mean AUC, for growing training sets (a few fits, each distributed)."""
     out = []

@@ -111,3 +111,15 @@ def strata_accuracy(df: DataFrame, strata: list[str]) -> DataFrame:
     """stratum, value, n, accuracy for rows (truth, pred, ...) along each stratum column."""
     each = df.select("truth", "pred", F.explode(F.array(*[F.struct(F.lit(s).alias("stratum"), F.col(s).cast("string").alias("value")) for s in strata])).alias("x"))
     return each.groupBy("x.stratum", "x.value").agg(F.count("*").alias("n"), F.round(F.avg((F.col("truth") == F.col("pred")).cast("int")), 6).alias("accuracy"))
+
+
+def order_statistics(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, p50, p95: the entries at n // 2 and int(0.95 n), from 0, of each group's sorted values.
+
+    Ranks come from counts by value, so a group of many rows is as many rows as it has values.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
+    placed = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    return placed.groupBy(by).agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * F.lit(0.95))).alias("p95"))

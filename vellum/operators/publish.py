@@ -43,6 +43,11 @@ def live_findings(works: DataFrame, findings: DataFrame, chunks: DataFrame) -> D
     return findings.join(c, "anchor_chunk_id").join(ok, "work_id").select("finding_id", "work_id", "claim", "caveats", anchor.alias("anchor"))
 
 
+def cards(works: DataFrame, findings: DataFrame) -> DataFrame:
+    """Live findings as a client holds them: the claim with its caveats, and the work's quality and title."""
+    return findings.select("finding_id", "work_id", "claim", "caveats").join(works.select("work_id", "quality", "title"), "work_id").select("finding_id", "work_id", "claim", "caveats", "quality", "title")
+
+
 def violations(works: DataFrame, findings: DataFrame) -> DataFrame:
     """rule, key: every breach of what a snapshot promises."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""

@@ -10,7 +10,7 @@ from vellum.functions import text as T
 
 CANDIDATE = "work_id string, openalex_id string, doi string, pmcid string, title string, authors string, year int, license string, is_oa boolean, is_retracted boolean, abstract string, pub_types array<string>, discovered_via string"
 OPENALEX = "id string, doi string, display_name string, publication_year int, is_retracted boolean, open_access struct<is_oa:boolean>, abstract_inverted_index map<string,array<int>>, referenced_works array<string>"
-EPMC = "pmcid string, doi string, title string, authorString string, pubYear string, license string, isOpenAccess string, abstractText string, pubTypeList struct<pubType:array<string>>"
+EPMC = "pmcid string, doi string, title string, authorString string, pubYear string, license string, isOpenAccess string, abstractText string, pubTypeList struct<pubType:array<string>>, journalInfo struct<journal:struct<title:string>>"
 
 
 def from_openalex(raw: DataFrame, column: str = "json", via: str = "openalex") -> DataFrame:
@@ -55,6 +55,12 @@ def from_epmc(raw: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
+def journals(raw: DataFrame, column: str = "json") -> DataFrame:
+    """doi, pmcid and venue (the journal's title; blank ones are absent) of records."""
+    r = raw.select(F.from_json(column, EPMC).alias("r")).select("r.*")
+    return r.select(F.lower("doi").alias("doi"), F.upper("pmcid").alias("pmcid"), R.filled(F.trim("journalInfo.journal.title")).alias("venue"))
+
+
 def lookup_table(raw: DataFrame, column: str = "json") -> DataFrame:
     """doi, pmcid, title, authors, pub_types, is_retracted of records, for joins by identifier."""
     return from_epmc(raw, column).select(F.lower("doi").alias("doi"), F.upper("pmcid").alias("pmcid"), "title", "abstract", "authors", "pub_types", "is_retracted")

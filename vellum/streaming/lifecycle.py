@@ -30,6 +30,11 @@ def claim_next_topic(topics: DataFrame, cutoff: Column) -> DataFrame:
     return topics.filter(due(cutoff)).orderBy((F.col("status") == "pending").desc(), F.asc_nulls_first("last_crawled_at"), "id").limit(1)
 
 
+def topic(topics: DataFrame, ident: int) -> DataFrame:
+    """The topic of this id, if there is one."""
+    return topics.filter(F.col("id") == ident)
+
+
 def update_topic(topics: DataFrame, ident: int, **values: Column) -> DataFrame:
     mine = F.col("id") == ident
     return topics.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in values.items()})
