@@ -471,6 +471,31 @@ def test_perplexity_matches_definition(spark):
     assert perplexity.classify(df, labels.limit(0)).filter("kept").count() == len(rows)
 
 
+def test_perplexity_crossed_counts_every_trusted_document(spark):
+    """Each half is scored by all trusted documents of the other, and its own ones set its threshold; ids may come in parts."""
+    rng = random.Random(7)
+    rows = [(i, prose(12, rng)) for i in range(30)] + [(100, "qqq zzz"), (101, ""), (102, None), (103, "été")]
+    trusted = range(20)
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(25, 0, 0), (26, 1, 1)], "doc_id long, quality int, toxic int")
+    half = {r["k"]: r["h"] for r in spark.createDataFrame([(k,) for k, _ in rows], "k long").selectExpr("k", "pmod(xxhash64(3, 'half', k), 2L) as h").collect()}
+    assert {half[i] for i in trusted} == {0, 1}
+    text = dict(rows)
+    p = [brute_model([text[i] for i in trusted if half[i] != h], 3) for h in (0, 1)]
+    want = {}
+    for k, t in rows:
+        if t:
+            b = b"\n\n" + t.encode()
+            want[k] = -np.mean([np.log2(p[half[k]](b[i : i + 3], 3)) for i in range(len(b) - 2)])
+    got = {r["doc_id"]: r for r in perplexity.classify(frame(spark, rows), labels, order=3, crossed=True).collect()}
+    assert len(got) == len(rows)
+    for k, bits in want.items():
+        cut = max(np.ceil(want[i] * 1000) / 1000 for i in trusted if half[i] == half[k]) * 1.02
+        assert abs(got[k]["bits"] - bits) < 1e-6 and got[k]["threshold"] == pytest.approx(cut) and got[k]["kept"] == (bits <= cut), k
+    assert got[101]["kept"] and got[102]["kept"] and not got[100]["kept"]
+    parts = perplexity.classify(frame(spark, rows), labels, order=3, crossed=True, ids_at_once=6).collect()
+    assert {r["doc_id"]: r for r in parts} == got
+
+
 def test_perplexity_on_labelled_documents(spark):
     """Good documents stay, trusted or not; most bad ones go."""
     sf = "/root/testdata/sf0.01"

@@ -12,13 +12,17 @@ Each block asks for its distinct n-grams once; a join with the counts answers, a
 the block's documents (compressed for the trip) in one task. What is gathered grows with the
 documents, and no task holds the model.
 
-Bound on the fit: trusted documents are halved by hash. Of one half, the train_docs documents with
-the least hashed ids are trained on, and only their ids are broadcast. Thresholds come from all of
-the other half, since text that a model was trained on looks more likely than equally clean text.
+Fit. Text that a model was trained on looks more likely than equally clean text, so no document is
+scored by a model that has seen it. Crossed, as the query does it: all documents are halved by their
+hashed ids, and each is scored by the model of all trusted documents of the other half. Counts and
+thresholds so take in every trusted document, and each half of a language has a threshold of its own.
+Not crossed: one model of all trusted documents of the first half scores all documents, and those of
+the second half set the thresholds. Ids of trusted documents are broadcast, ids_at_once of them;
+where there are more, the texts are read once for each so many.
 
 Defined results. Null or empty text has 0 bytes, bits 0 and is kept. A null language is the language
-''. A language without trusted documents to train on (train_docs is one bound for all languages) or
-to hold out has no threshold and keeps all. Repeated rows are each scored; null keys are never
+''. A language (crossed: a half of it) without trusted documents to train on or to hold out has no
+threshold and keeps all. Repeated rows are each scored; null keys are never
 trusted. Texts are scored whole, however long. Extra columns are ignored, whatever their names. Empty
 tables give empty results.
 """
@@ -106,18 +110,18 @@ def model(counts: DataFrame, order: int) -> DataFrame:
     return out.groupBy("lang", "level", "code").agg(F.max("p").alias("p"), F.max("g").alias("g"))
 
 
-def blocked(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """block, lang, key, t: blocks hold one language and a bounded part of an input split (or of all rows)."""
+def blocked(docs: DataFrame, key: str, text: str, lang: str, half: Column) -> DataFrame:
+    """block, lang, half, key, t: blocks hold one language and half, and a bounded part of an input split (or of all rows)."""
     body, lan = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(F.col(f"`{lang}`"), F.lit(""))
-    cols = [lan.alias("lang"), F.col(f"`{key}`").alias("key"), body.alias("t")]
+    cols = [lan.alias("lang"), half.alias("half"), F.col(f"`{key}`").alias("key"), body.alias("t")]
     try:
         df = docs.select(F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("split"), *cols)
         df.schema  # noqa: B018  resolves the hidden column, or fails
     except AnalysisException:
         df = docs.select(F.lit(0).cast("long").alias("split"), *cols)
-    sizes = df.groupBy("split").agg(F.sum(F.octet_length("t")).alias("n")).agg(F.max("n")).first()[0] or 0
+    sizes = df.groupBy("split", "half").agg(F.sum(F.octet_length("t")).alias("n")).agg(F.max("n")).first()[0] or 0
     parts = max(1, -(-sizes // BLOCK_BYTES))
-    return df.select(F.xxhash64("split", F.pmod(F.xxhash64("key"), F.lit(parts)), "lang").alias("block"), "lang", "key", "t")
+    return df.select(F.xxhash64("split", F.pmod(F.xxhash64("key"), F.lit(parts)), "lang", "half").alias("block"), "lang", "half", "key", "t")
 
 
 def requests(docs: DataFrame, order: int) -> DataFrame:
@@ -220,32 +224,48 @@ def score(docs: DataFrame, key_type, answers: DataFrame, order: int) -> DataFram
     return packed(docs, key_type).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "block long, key string, n_bytes long, bits double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, train_docs: int = 50_000, quantile: float = 0.995, margin: float = 1.02, seed: int = 3) -> DataFrame:
+def of_half(half: Column) -> Column:
+    """Name of the model of a language and half."""
+    return F.concat_ws(":", half.cast("string"), "lang")
+
+
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, quantile: float = 0.995, margin: float = 1.02, seed: int = 3, crossed: bool = False, ids_at_once: int = 1_000_000) -> DataFrame:
     """key, lang, n_bytes, bits, perplexity, threshold, kept for each row of docs."""
     ok = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     good = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.coalesce(ok, F.lit(False)).cast("int")).alias("good")).filter("good = 1").select("k")
     good = C.stash(good, few=True)
-    half = F.pmod(F.xxhash64(F.lit(seed), F.lit("half"), "k"), F.lit(2))
-    sample = good.filter(half == 0).orderBy(F.xxhash64(F.lit(seed), "k"), "k").limit(train_docs)  # ids only, at most train_docs of them
-    held = good.filter(half == 1)  # what the model has not seen sets the thresholds
-    df = blocked(docs, key, text, lang)
-    trusted = df.join(F.broadcast(sample), df["key"] == sample["k"], "left_semi").select("lang", "t")
-    counts = C.stash(count_ngrams(trusted, order), few=True)
-    table = model(counts, order)
-    answers = requests(df, order).join(table, ["lang", "level", "code"]).select("block", "level", "code", "p", "g")
-    scored = score(df, None, answers, order)
-    names = df.select("block", "lang").distinct()
-    scored = C.stash(scored.join(names, "block").select(F.col("key").cast(docs.schema[key].dataType).alias(key), "lang", "n_bytes", "bits"))
+    half = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.lit("half"), c), F.lit(2)).cast("int")
+    trained = good if crossed else good.filter(half("k") == 0)
+    held = good if crossed else good.filter(half("k") == 1)  # what its model has not seen sets the thresholds
+    df = blocked(docs, key, text, lang, half(f"`{key}`") if crossed else F.lit(1))
+    asked = df.select("block", of_half(F.col("half")).alias("lang"), "key", "t")  # the model that scores a document
+    counts = counted(df.select(of_half(1 - F.col("half") if crossed else F.col("half")).alias("lang"), "key", "t"), trained, order, ids_at_once)
+    answers = requests(asked, order).join(model(counts, order), ["lang", "level", "code"]).select("block", "level", "code", "p", "g")
+    scored = score(asked, None, answers, order)
+    names = df.select("block", "lang", of_half(F.col("half")).alias("model")).distinct()
+    scored = C.stash(scored.join(names, "block").select(F.col("key").cast(docs.schema[key].dataType).alias(key), "lang", "model", "n_bytes", "bits"))
     # exact quantiles to a thousandth of a bit, from counts in fixed bins
-    bins = scored.filter("n_bytes > 0").join(held, scored[key] == held["k"], "left_semi").groupBy("lang", F.ceil(F.col("bits") * 1000).alias("bin")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))
-    all_of = F.sum("n").over(Window.partitionBy("lang"))
-    cut = bins.withColumn("share", upto / all_of).filter(F.col("share") >= quantile).groupBy("lang").agg((F.min("bin") / 1000 * margin).alias("threshold"))
-    cut = cut.join(counts.select("lang").distinct(), "lang", "left_semi")
+    bins = scored.filter("n_bytes > 0").join(held, scored[key] == held["k"], "left_semi").groupBy("model", F.ceil(F.col("bits") * 1000).alias("bin")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("model").orderBy("bin"))
+    all_of = F.sum("n").over(Window.partitionBy("model"))
+    cut = bins.withColumn("share", upto / all_of).filter(F.col("share") >= quantile).groupBy("model").agg((F.min("bin") / 1000 * margin).alias("threshold"))
+    cut = cut.join(counts.select(F.col("lang").alias("model")).distinct(), "model", "left_semi")
     cut = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = scored.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(cut, ["lang", "salt"], "left")
+    out = scored.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(cut, ["model", "salt"], "left")
     return out.select(key, "lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold", F.coalesce(F.col("bits") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
+def counted(texts: DataFrame, trained: DataFrame, order: int, ids_at_once: int) -> DataFrame:
+    """Counts of texts (lang, key, t) whose key is in trained (k), which is broadcast in parts of about ids_at_once."""
+    parts = max(1, -(-trained.count() // ids_at_once))
+    out = None
+    for i in range(parts):
+        ids = trained.filter(F.pmod(F.xxhash64(F.lit("part"), "k"), F.lit(parts)) == i)
+        some = texts.join(F.broadcast(ids), texts["key"] == ids["k"], "left_semi").select("lang", "t")
+        some = C.stash(count_ngrams(some, order), few=True)
+        out = some if out is None else out.unionByName(some)
+    return out if parts == 1 else C.stash(out.groupBy("lang", "code").agg(F.sum("c").alias("c")), few=True)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(C.tables(sf_dir, "documents")), spark.read.parquet(C.tables(sf_dir, "labels")))
+    return classify(spark.read.parquet(C.tables(sf_dir, "documents")), spark.read.parquet(C.tables(sf_dir, "labels")), crossed=True)
